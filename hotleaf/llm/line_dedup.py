@@ -106,7 +106,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         packed = halves.astype(np.int64).tobytes()
         elsewhere = {packed[i : i + 16] for i in range(0, len(packed), 16)}
         first = _first_places(d, least)
-        ids = d.ids()
+        ids, absent = d.ids(), table.column("text").is_null().to_pylist()
         n_lines, n_dropped, bitmaps, texts, digests = [], [], [], [], []
         for k in range(d.n):
             raw, own = d.raw(k), int(ids[k])
@@ -118,7 +118,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             n_lines.append(len(lines))
             n_dropped.append(dropped)
             bitmaps.append(zlib.compress(np.packbits(keep).tobytes(), 1))
-            texts.append(raw.decode() if with_text else None)
+            texts.append(raw.decode() if with_text and not absent[k] else None)
             digests.append(hashlib.sha256(raw).hexdigest() if with_digest else None)
         out = {
             "doc_id": table.column("doc_id"),

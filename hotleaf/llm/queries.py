@@ -11,6 +11,7 @@ from hotleaf.llm.quality_rules import OP3_SQL, op3_quality_rules
 from hotleaf.llm.simhash_dedup import op4_simhash
 from hotleaf.llm.substring_dedup import op7_debruijn_dedup
 from hotleaf.llm.suffix_dedup import op1_suffix_dedup
+from hotleaf.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_debruijn_dedup": op7_debruijn_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 

@@ -18,8 +18,6 @@ equal rows are each matched; a null id is a value like any other.
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,24 +32,21 @@ def _words(text: Column) -> Column:
 
 
 def _shingles(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per shingle position: keys, words, place, and the hash of the words there."""
+    """One row per shingle position: keys, the hash of the words there, and the words, joined."""
     rows = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))).alias("place"), "words")
-    return rows.select(*keys, F.xxhash64(*[F.get("words", F.col("place") + k) for k in range(SHINGLE)]).alias("hash"), "place", "words")
-
-
-def _kept(n: int, share: float) -> int:
-    return n - ceil(share * n - 1e-9) + 1
+    own = [F.get("words", F.col("place") + k) for k in range(SHINGLE)]
+    return rows.select(*keys, F.xxhash64(*own).alias("hash"), F.concat_ws(" ", *own).alias("gram"))
 
 
 def item_sketches(items: DataFrame, id_col: str = "item_id", text_col: str = "text", share: float = CONTAINED) -> DataFrame:
-    """(item_id, hash, item_words, n_shingles, kept): each item's distinct shingles, and whether the sketch keeps them."""
+    """(item_id, hash, item_gram, n_shingles, kept): each item's distinct shingles, and whether the sketch keeps them."""
     rows = items.select(F.col(id_col).alias("item_id"), _words(F.col(text_col)).alias("words")).where(F.size("words") > 0).distinct()
-    each = _shingles(rows, ["item_id"]).select("item_id", "hash", F.slice("words", F.col("place") + 1, F.lit(SHINGLE)).alias("item_words")).distinct()
-    lists = each.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("hash", "item_words"))).alias("all"))
+    each = _shingles(rows, ["item_id"]).select("item_id", "hash", F.col("gram").alias("item_gram")).distinct()
+    lists = each.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("hash", "item_gram"))).alias("all"))
     size = F.size("all")
     upper = F.pow(F.lit(2), F.ceil(F.log2(size))).cast("int")
     keep = upper - F.ceil(F.lit(share) * upper - F.lit(1e-9)).cast("int") + 1
-    return lists.select("item_id", size.cast("long").alias("n_shingles"), keep.alias("keep"), F.posexplode("all").alias("rank", "s")).select("item_id", "n_shingles", (F.col("rank") < F.col("keep")).alias("kept"), "s.hash", "s.item_words")
+    return lists.select("item_id", size.cast("long").alias("n_shingles"), keep.alias("keep"), F.posexplode("all").alias("rank", "s")).select("item_id", "n_shingles", (F.col("rank") < F.col("keep")).alias("kept"), "s.hash", "s.item_gram")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = CONTAINED) -> DataFrame:
@@ -62,9 +57,10 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     sketches = item_sketches(items, share=share)
     if sketches.count() <= BROADCAST_ROWS:
         sketches = F.broadcast(sketches)
-    rows = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    rows = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words"))  # without words: one empty gram, which no item has
     hits = _shingles(rows, ["doc_id"]).join(sketches, "hash")
-    same = F.forall(F.sequence(F.lit(0), F.lit(SHINGLE - 1)), lambda k: F.get("words", F.col("place") + k).eqNullSafe(F.get("item_words", k)))
+    # equality of the words, in a form that stays a filter on the few rows with equal hashes
+    same = F.startswith("gram", F.col("item_gram")) & F.startswith("item_gram", F.col("gram"))
     pairs = hits.where(same).groupBy("doc_id", "item_id", "n_shingles").agg(F.size(F.collect_set("hash")).cast("long").alias("n_common"), F.max("kept").alias("candidate"))
     found = pairs.where("candidate").withColumn("containment", F.col("n_common") / F.col("n_shingles"))
     return found.where(F.col("containment") >= share).select("doc_id", "item_id", "n_shingles", "n_common", "containment")

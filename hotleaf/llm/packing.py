@@ -12,10 +12,13 @@ as documents of their own.
 
 from __future__ import annotations
 
+import codecs
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,15 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bins with at most so many free places are final.
 SLACK = 8
 GROUP_ITEMS = 50_000
-_CACHED_WORDS = 300_000
-_STEP_BYTES = 1 << 20
+_CACHED_WORDS = 1_000_000
+_STEP_BYTES = 4 << 20
+#: How the vocabulary cuts a lower-cased word into pieces (a fixed value of the vocabulary file).
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words in which normalization changes nothing but case, character by character, and no special token begins.
+_PLAIN = regex.compile(r"[!-;=-~\u00A1-\u012F\u0132-\u0148\u014A-\u017E]+")
+#: Byte-level vocabularies write printable Latin-1 bytes as themselves and the others as characters from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_SHOWN = "".join(chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
 
 
 class WordIds:
@@ -49,21 +59,36 @@ class WordIds:
             cls.open[file] = cls(file)
         return cls.open[file]
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > _CACHED_WORDS:
-            self.words.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.words[word] = np.array(code.ids, "<u4").tobytes()
+    def piece(self, lowered: bytes) -> bytes:
+        ids = [x.id for x in self.tokenizer.model.tokenize(codecs.charmap_decode(lowered, "strict", _SHOWN)[0])]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone are one piece
+            return self.piece(word.lower())
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0100":
+            return self.piece(text.lower().encode())
+        if not _PLAIN.fullmatch(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        # as a word with a comma: its pieces are often known
+        return b"".join([self.words.get(p) or self.piece(p) for p in map(str.encode, _PIECES.findall(text.lower()))])
+
+    def table(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of all the words; those that come first are remembered, up to a number, and the others made anew."""
+        known, encode = self.words, self.encode
+        new = {w: encode(w) for w in words if w not in known}
+        if len(known) + len(new) <= _CACHED_WORDS:
+            known.update(new)
+            return known
+        return {w: known.get(w) or new[w] for w in words}
 
 
 def tokenized(texts: list[str | None], file: str):
     """The ids of each text and the end mark, as little-endian unsigned 32-bit bytes."""
-    known = WordIds.of(file)
-    end = np.array([END], "<u4").tobytes()
+    words_of = WordIds.of(file)
+    end = struct.pack("<I", END)
     at = 0
     while at < len(texts):
         rows, size = [], 0
@@ -72,8 +97,7 @@ def tokenized(texts: list[str | None], file: str):
             rows.append(raw.split())
             size += len(raw)
             at += 1
-        known.learn(set().union(*rows))
-        table = known.words
+        table = words_of.table(set().union(*rows))
         for words in rows:
             yield b"".join([table[w] for w in words]) + end
 

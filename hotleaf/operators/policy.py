@@ -37,7 +37,7 @@ def checked_expression(relation: Relation, text: str) -> str:
         tree = relation.spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
     except Exception:
         raise DocError("42601", f"invalid expression {text!r}") from None
-    allowed = {"id", *relation.meta.columns}
+    allowed = {"id", "current_user", *relation.meta.columns}
     for node in _walk(tree):
         kind = node.getClass().getSimpleName()
         if kind not in NODES:

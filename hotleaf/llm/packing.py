@@ -31,7 +31,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bins with at most so many free places are final.
 SLACK = 8
 GROUP_ITEMS = 50_000
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 600_000
 _STEP_BYTES = 4 << 20
 #: How the vocabulary cuts a lower-cased word into pieces (a fixed value of the vocabulary file).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -52,6 +52,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.words: dict[bytes, bytes] = {}
+        self.marks = {m: self.piece(m) for m in (b".", b",")}
 
     @classmethod
     def of(cls, file: str) -> WordIds:
@@ -63,16 +64,28 @@ class WordIds:
         ids = [x.id for x in self.tokenizer.model.tokenize(codecs.charmap_decode(lowered, "strict", _SHOWN)[0])]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters alone are one piece
+    def letters(self, word: bytes) -> bytes | None:
+        """Ids of a word of Latin-1 letters alone, which is one piece; None for other words."""
+        if word.isalpha():
             return self.piece(word.lower())
         text = word.decode()
-        if text.isalpha() and max(text) < "\u0100":
-            return self.piece(text.lower().encode())
+        if not text.isalpha():
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return self.piece(text.lower().encode())
+
+    def encode(self, word: bytes) -> bytes:
+        last = self.marks.get(word[-1:])
+        known = self.letters(word if last is None else word[:-1])
+        if known is not None:
+            return known if last is None else known + last
+        text = word.decode()
         if not _PLAIN.fullmatch(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        # as a word with a comma: its pieces are often known
         return b"".join([self.words.get(p) or self.piece(p) for p in map(str.encode, _PIECES.findall(text.lower()))])
 
     def table(self, words: set[bytes]) -> dict[bytes, bytes]:

@@ -17,14 +17,18 @@ from pyspark.sql import functions as F
 from hotleaf.errors import DocError
 from hotleaf.functions import kernel as K
 
-SPLIT = "struct<template:string,slots:array<string>,error:string>"
-EDIT = "struct<done:boolean,template:string,slots:array<string>,results:array<string>,error:string>"
+SPLIT = "struct<template:string,slots:array<string>,keys:array<string>,error:string>"
+EDIT = "struct<done:boolean,template:string,slots:array<string>,keys:array<string>,results:array<string>,error:string>"
 
 
 def _text(value: Any) -> str | None:
     return None if value is K.MISSING else K.dump(value)
 
 
+def _key(value: Any) -> str | None:
+    return None if value is K.MISSING else K.key_of(value)
+
+
 def _value(text: str | None) -> Any:
     return K.MISSING if text is None else K.parse(text)
 
@@ -54,20 +58,20 @@ def _arrow_type(kind: str) -> pa.DataType:
         "boolean": pa.bool_(),
         "binary": pa.binary(),
         "array<string>": pa.list_(pa.string()),
-        SPLIT: pa.struct([("template", pa.string()), ("slots", pa.list_(pa.string())), ("error", pa.string())]),
-        EDIT: pa.struct([("done", pa.bool_()), ("template", pa.string()), ("slots", pa.list_(pa.string())), ("results", pa.list_(pa.string())), ("error", pa.string())]),
+        SPLIT: pa.struct([("template", pa.string()), ("slots", pa.list_(pa.string())), ("keys", pa.list_(pa.string())), ("error", pa.string())]),
+        EDIT: pa.struct([("done", pa.bool_()), ("template", pa.string()), ("slots", pa.list_(pa.string())), ("keys", pa.list_(pa.string())), ("results", pa.list_(pa.string())), ("error", pa.string())]),
     }[kind]
 
 
 def pack(doc: Column, paths: tuple) -> Column:
-    """struct(template, slots, error) of document text."""
+    """struct(template, slots, keys, error) of document text."""
 
     def one(text):
         try:
             template, values = K.pack(K.parse(text), paths)
         except DocError as e:
             return {"error": f"{e.sqlstate} {e.detail}"}
-        return {"template": K.dump(template), "slots": [_text(v) for v in values]}
+        return {"template": K.dump(template), "slots": [_text(v) for v in values], "keys": [_key(v) for v in values]}
 
     return _mapped(one, SPLIT)(doc)
 
@@ -118,7 +122,7 @@ def edited(doc: Column, ops: Column, paths: tuple) -> Column:
             template, values = K.pack(doc, paths)
         except DocError as e:
             return {"done": False, "error": f"{e.sqlstate} {e.detail}"}
-        return {"done": True, "template": K.dump(template), "slots": [_text(v) for v in values], "results": results}
+        return {"done": True, "template": K.dump(template), "slots": [_text(v) for v in values], "keys": [_key(v) for v in values], "results": results}
 
     return _mapped(one, EDIT)(doc, ops)
 
@@ -137,7 +141,7 @@ def edited_hot(slots: Column, ops: Column, paths: tuple) -> Column:
                 results.append(K.dump(result))
         except DocError as e:
             return {"done": False, "error": f"{e.sqlstate} {e.detail}"}
-        return {"done": True, "slots": [_text(v) for v in values], "results": results}
+        return {"done": True, "slots": [_text(v) for v in values], "keys": [_key(v) for v in values], "results": results}
 
     return _mapped(one, EDIT)(slots, ops)
 

@@ -309,15 +309,18 @@ class Relation:
             raise DocError("25006", f"{self.meta.name} is read-only")
 
     def _shaped(self, rows: DataFrame) -> DataFrame:
-        """Hot rows (id, row_revision, p, slots array, c_ columns) in the stored layout."""
-        slots = {h: F.get("slots", k) for k, h in enumerate(self.hot_names)}
-        out = rows.select("id", "row_revision", "p", *[v.alias(h) for h, v in slots.items()], *[F.col(f"`c_{c}`") for c in self.meta.columns])
-        keys = [C.key_of(F.col(h)).alias(f"{h}_key") for h in self.hot_names]
-        typed = [(C.as_number if kind == "numeric" else C.as_boolean)(F.col(f"h{slot}")).alias(n) for n, (slot, kind) in self._typed().items()]
-        return out.select("*", *keys, *typed)
-
-    def _checked(self, rows: DataFrame) -> None:
-        """One pass over changed rows for every constraint; raises the first that fails."""
+        """Hot rows (id, row_revision, p, slots and keys arrays, c_ columns) in the stored layout."""
+        slots = [F.get("slots", k).alias(h) for k, h in enumerate(self.hot_names)]
+        keys = [F.get("keys", k).alias(f"{h}_key") for k, h in enumerate(self.hot_names)]
+        typed = [(C.as_number if kind == "numeric" else C.as_boolean)(F.get("slots", slot)).alias(n) for n, (slot, kind) in self._typed().items()]
+        return rows.select("id", "row_revision", "p", *slots, *keys, *typed, *[F.col(f"`c_{c}`") for c in self.meta.columns])
+
+    def _slots(self) -> list[Column]:
+        """The slots and keys arrays of stored hot rows."""
+        return [F.array(*self.hot_names).alias("slots"), F.array(*[f"{h}_key" for h in self.hot_names]).alias("keys")]
+
+    def _checked(self, rows: DataFrame, *more: Column):
+        """One pass over changed rows for every constraint; raises the first that fails.  Returns the aggregates in ``more``."""
         found: list[tuple[str, str, Column]] = [("23502", "an id is null", F.col("id").isNull()), ("23514", "no range holds the id", F.col("p").isNull())]
         for c in self.meta.not_null:
             found.append(("23502", f"{c} is null", F.col(f"`c_{c}`").isNull()))
@@ -331,46 +334,47 @@ class Relation:
         for slot, kind in self.meta.types.items():
             value = F.get("slots", int(slot))
             found.append(("23514", f"slot {slot} is not {kind}", F.coalesce(~C.typeof(value).isin("null", {"numeric": "number"}.get(kind, kind)), F.lit(False))))
-        bad = rows.agg(*[F.max(cond.cast("int")).alias(f"e{k}") for k, (_, _, cond) in enumerate(found)]).first()
+        out = rows.agg(*[F.max(cond.cast("int")).alias(f"e{k}") for k, (_, _, cond) in enumerate(found)], *more).first()
         for k, (state, message, _) in enumerate(found):
-            if bad[k]:
+            if out[k]:
                 raise DocError(state, message)
         if self.user is not None and self.meta.rls["enabled"]:
             shown = rows.select("*", *[F.get("slots", k).alias(h) for k, h in enumerate(self.hot_names)])
             if shown.where(~F.coalesce(policy.condition(self, "insert", "check"), F.lit(False))).limit(1).count():
                 raise DocError("42501", "a row breaks a policy")
+        return out[len(found) :]
 
-    def commit(self, changed: DataFrame, gone: DataFrame | None = None, templates: bool = True, follower: bool = False, applied: int | None = None) -> Relation:
-        """Publishes changed rows (id, template, slots, c_ columns; template null where the cold side stays) and the removal
-        of the ids in ``gone``.  Only the buckets that hold them are written."""
+    def commit(self, changed: DataFrame, gone: DataFrame | None = None, follower: bool = False, applied: int | None = None, stable: bool = False) -> Relation:
+        """Publishes changed rows (id, template, slots, keys, c_ columns; template null where the cold side stays) and the
+        removal of the ids in ``gone``.  Only the buckets that hold them are written.  ``stable``: ``changed`` reads what is
+        settled already and gives the same rows each time."""
         self.need_writable(follower)
         changed = changed.withColumn("p", self.bucket(F.col("id"))).withColumn("row_revision", F.monotonically_increasing_id() + self.meta.next_revision)
-        changed = settled(changed)
-        self._checked(changed)
+        changed = changed if stable else settled(changed)
+        whole = F.col("template").isNotNull()
+        top, touched, cold_touched = self._checked(changed, F.max("row_revision"), F.collect_set("p"), F.collect_set(F.when(whole, F.col("p"))))
         meta = Meta.of(self.meta.text())
-        removed = changed.select("id", "p")
+        cold_rows = changed.where(whole).select("id", "template", "p")
+        removed, cold_removed = changed.select("id"), cold_rows.select("id")
         if gone is not None:
             gone = settled(gone.select("id").distinct().withColumn("p", self.bucket(F.col("id"))))
-            removed = removed.union(gone)
-        touched = sorted(r[0] for r in removed.select("p").distinct().collect())
-        cold_rows = changed.where("template IS NOT NULL").select("id", "template", "p")
-        cold_removed = cold_rows.select("id", "p") if gone is None else cold_rows.select("id", "p").union(gone)
-        cold_touched = sorted(r[0] for r in cold_removed.select("p").distinct().collect()) if templates else []
+            left = gone.agg(F.collect_set("p")).first()[0]
+            touched, cold_touched = sorted({*touched, *left}), sorted({*cold_touched, *left})
+            removed, cold_removed = removed.union(gone.select("id")), cold_removed.union(gone.select("id"))
         version = meta.version + 1
         for side, buckets, rows, out in (("hot", touched, self._shaped(changed), removed), ("cold", cold_touched, cold_rows, cold_removed)):
             current = getattr(meta, side)
             old = {p: current[p] for p in map(str, buckets) if p in current}
             if old:
-                kept = self.store.read(side, old, self._hot_schema() if side == "hot" else "id long, template string, p int").join(out.select("id"), "id", "left_anti")
+                kept = self.store.read(side, old, self._hot_schema() if side == "hot" else "id long, template string, p int").join(out, "id", "left_anti")
                 rows = kept.unionByName(rows)
             if buckets:
                 self.store.write(side, rows, version)
-            made = {n[2:] for n in self.store.files.names(f"{meta.name}/{side}") if n[2:] in set(map(str, buckets)) and f"v={version}" in self.store.files.names(f"{meta.name}/{side}/{n}")}
             for p in map(str, buckets):
                 current.pop(p, None)
-                if p in made:
+                if f"v={version}" in self.store.files.names(f"{meta.name}/{side}/p={p}"):
                     current[p] = version
-        meta.next_revision = max(meta.next_revision, (changed.agg(F.max("row_revision")).first()[0] or 0) + 1)
+        meta.next_revision = max(meta.next_revision, (top or 0) + 1)
         if applied is not None:
             meta.applied = applied
         return Relation(self.catalog, self.store, self.store.publish(meta))
@@ -398,14 +402,14 @@ class Relation:
         raised(bad[1])
         if bad[2]:
             raise DocError("23505", "an id occurs twice")
-        return packed.select("id", "s.template", "s.slots", *[f"`c_{c}`" for c in self.meta.columns])
+        return packed.select("id", "s.template", "s.slots", "s.keys", *[f"`c_{c}`" for c in self.meta.columns])
 
     def insert(self, rows: DataFrame, follower: bool = False) -> Relation:
         self.need_writable(follower)
         packed = self._packed(rows)
         if self.meta.hot and self.hot().select("id").join(packed, "id", "left_semi").limit(1).count():
             raise DocError("23505", "an id exists")
-        return self.commit(packed, follower=follower)
+        return self.commit(packed, follower=follower, stable=True)
 
     def upsert(self, rows: DataFrame, gone: DataFrame | None = None, follower: bool = False, applied: int | None = None) -> Relation:
         """Inserts or replaces documents; of existing rows only the supplied business columns change."""
@@ -413,7 +417,7 @@ class Relation:
         old = self.hot().select("id", *[F.col(f"`c_{c}`").alias(f"o_{c}") for c in self.meta.columns], F.lit(True).alias("there"))
         joined = packed.join(old, "id", "left")
         kept = [F.when(F.col("there") & F.lit(c not in rows.columns), F.col(f"`o_{c}`")).otherwise(F.col(f"`c_{c}`")).alias(f"c_{c}") for c in self.meta.columns]
-        return self.commit(joined.select("id", "template", "slots", *kept), gone, follower=follower, applied=applied)
+        return self.commit(joined.select("id", "template", "slots", "keys", *kept), gone, follower=follower, applied=applied)
 
     def update_business(self, rows: DataFrame) -> Relation:
         """Sets the business columns in ``rows`` (id and columns) of existing rows; the cold side stays."""
@@ -423,12 +427,12 @@ class Relation:
         new = rows.select("id", *[F.col(f"`{c}`").cast(self.meta.columns[c]).alias(f"n_{c}") for c in given])
         joined = self.visible("update").join(new, "id")
         values = [F.col(f"`{'n' if c in given else 'c'}_{c}`").alias(f"c_{c}") for c in self.meta.columns]
-        return self.commit(joined.select("id", F.lit(None).cast("string").alias("template"), F.array(*self.hot_names).alias("slots"), *values), templates=False)
+        return self.commit(joined.select("id", F.lit(None).cast("string").alias("template"), *self._slots(), *values))
 
     def delete(self, ids: DataFrame) -> Relation:
         seen = self.visible("delete").select("id").join(ids.select("id").distinct(), "id", "left_semi")
         none = self.hot().limit(0)
-        return self.commit(none.select("id", F.lit(None).cast("string").alias("template"), F.array(*self.hot_names).alias("slots"), *[f"`c_{c}`" for c in self.meta.columns]), seen)
+        return self.commit(none.select("id", F.lit(None).cast("string").alias("template"), *self._slots(), *[f"`c_{c}`" for c in self.meta.columns]), seen)
 
     # ------------------------------------------------------------ operations
     def applied_ops(self, ops: DataFrame) -> DataFrame:
@@ -438,18 +442,18 @@ class Relation:
         rows = self.visible("update").join(lists, "id")
         first = settled(rows.select("*", C.edited_hot(F.array(*self.hot_names), F.col("ops"), self.paths).alias("e")))
         business = [f"`c_{c}`" for c in self.meta.columns]
-        fast = first.where("e.done OR e.error IS NOT NULL").select("id", F.lit(None).cast("string").alias("template"), "e.slots", "e.results", "e.error", *business)
+        fast = first.where("e.done OR e.error IS NOT NULL").select("id", F.lit(None).cast("string").alias("template"), "e.slots", "e.keys", "e.results", "e.error", *business)
         slow = first.where("NOT e.done AND e.error IS NULL").join(self.cold(), ["id", "p"])
         doc = C.restore(F.col("template"), F.array(*self.hot_names), self.paths)
         slow = slow.select("id", C.edited(doc, F.col("ops"), self.paths).alias("e"), *business)
-        return fast.unionByName(slow.select("id", "e.template", "e.slots", "e.results", "e.error", *business))
+        return fast.unionByName(slow.select("id", "e.template", "e.slots", "e.keys", "e.results", "e.error", *business))
 
     def apply_ops(self, ops: DataFrame) -> tuple[Relation, DataFrame]:
         """All operations in one commit, or none.  Returns the next version and (id, results)."""
         self.need_writable()
         done = settled(self.applied_ops(ops))
         raised(done.agg(F.max("error")).first()[0])
-        out = self.commit(done.drop("results", "error"), templates=bool(done.where("template IS NOT NULL").limit(1).count()))
+        out = self.commit(done.drop("results", "error"), stable=True)
         return out, done.select("id", "results")
 
     def _row(self, id_: int, ops: list[dict]) -> tuple[Relation, list | None]:
@@ -594,8 +598,8 @@ class Relation:
             raise DocError("22023", f"the slot is declared {now}")
         out = self.changed(types=self.meta.types | {slot: kind})._verified(self)
         business = [f"`c_{c}`" for c in self.meta.columns]
-        rows = self.hot().select("id", F.lit(None).cast("string").alias("template"), F.array(*self.hot_names).alias("slots"), *business)
-        return out.commit(rows, templates=False) if self.meta.hot else out
+        rows = self.hot().select("id", F.lit(None).cast("string").alias("template"), *self._slots(), *business)
+        return out.commit(rows) if self.meta.hot else out
 
     def create_path_index(self, name: str, path: Any, kind: str = "jsonb", collation: str | None = None) -> Relation:
         """Registers what a search uses: key columns serve jsonb, typed columns numeric and boolean, text the value itself."""

@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hotleaf.errors import DocError
 
@@ -128,9 +129,8 @@ class Store:
         return meta
 
     def write(self, side: str, rows: DataFrame, version: int) -> None:
-        from pyspark.sql import functions as F
-
-        (rows.withColumn("v", F.lit(version)).repartition("p").sortWithinPartitions("p", "id").write.mode("append").partitionBy("p", "v").parquet(f"{self.files.root}/{self.name}/{side}"))
+        """Files sorted by id; large buckets are dealt over several tasks by ranges of ids."""
+        (rows.withColumn("v", F.lit(version)).repartitionByRange("p", "id").sortWithinPartitions("p", "id").write.mode("append").partitionBy("p", "v").parquet(f"{self.files.root}/{self.name}/{side}"))
 
     def read(self, side: str, buckets: dict[str, int], schema: str) -> DataFrame:
         base = f"{self.files.root}/{self.name}/{side}"

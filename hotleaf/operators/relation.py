@@ -53,7 +53,9 @@ class Catalog:
     def as_user(self, user: str | None) -> Catalog:
         return Catalog(self.spark, self.root, user, self.rewrite)
 
-    def create(self, name: str, paths: Any, columns: dict[str, str] | None = None, partition: Any = None) -> Relation:
+    def create(self, name: str, paths: Any, columns: dict[str, str] | None = None, partition: Any = None, buckets: int = 8) -> Relation:
+        """``partition`` is a visible specification of up to 64 parts.  Without one, ids are hashed into ``buckets``: the unit
+        that a commit rewrites, so choose some hundred megabytes of hot values each."""
         schema, _, table = name.partition(".")
         if not schema or not table or "." in table or any(len(x.encode()) > 63 for x in (schema, table)):
             raise DocError("22023", "a relation's name has a schema and a table of up to 63 bytes")
@@ -66,15 +68,16 @@ class Catalog:
         for kind in columns.values():
             column_type(kind)
         meta = Meta(name, [list(p) for p in declared], columns, version=-1)
-        if partition is not None:
-            meta.partition = checked_partition(partition)
+        if not 1 <= buckets <= 1 << 16:
+            raise DocError("22023", "1 to 65536 buckets")
+        meta.partition = {"strategy": "hash", "modulus": buckets} if partition is None else checked_partition(partition)
         store = self.store(name)
         return Relation(self, store, store.publish(meta))
 
-    def import_table(self, name: str, source: DataFrame, paths: Any, id_col: str = "id", doc_col: str = "doc", partition: Any = None) -> Relation:
+    def import_table(self, name: str, source: DataFrame, paths: Any, id_col: str = "id", doc_col: str = "doc", partition: Any = None, buckets: int = 8) -> Relation:
         """Creates a relation from a table: other columns become business columns.  Invalid rows leave nothing behind."""
         others = [f for f in source.schema.fields if f.name not in (id_col, doc_col)]
-        relation = self.create(name, paths, {f.name: f.dataType.simpleString() for f in others}, partition)
+        relation = self.create(name, paths, {f.name: f.dataType.simpleString() for f in others}, partition, buckets)
         try:
             return relation.insert(source.select(F.col(id_col).cast("long").alias("id"), F.col(doc_col).alias("doc"), *[F.col(f"`{f.name}`") for f in others]))
         except Exception:
@@ -182,17 +185,21 @@ class Relation:
             out = F.when(inside, F.lit(int(name))).otherwise(out)
         return out
 
-    def hot(self, ids: tuple[int | None, int | None] | None = None) -> DataFrame:
-        """Hot values and business columns; with a range of ids [low, high) only the buckets that can hold them."""
-        buckets = resolver.pruned(self.meta, self.meta.hot, ids)
+    def hot(self, ids: tuple[int | None, int | None] | None = None, only: set[int] | None = None) -> DataFrame:
+        """Hot values and business columns; with a range of ids [low, high), or buckets, of these files only."""
+        buckets = resolver.pruned(self.meta, self.meta.hot, ids, only)
         rows = self.store.read("hot", buckets, self._hot_schema())
         for bound, keep in ((ids or (None, None))[0], F.col("id").__ge__), ((ids or (None, None))[1], F.col("id").__lt__):
             if bound is not None:
                 rows = rows.where(keep(bound))
         return rows
 
-    def cold(self) -> DataFrame:
-        return self.store.read("cold", self.meta.cold, "id long, template string, p int")
+    def cold(self, ids: tuple[int | None, int | None] | None = None, only: set[int] | None = None) -> DataFrame:
+        return self.store.read("cold", resolver.pruned(self.meta, self.meta.cold, ids, only), "id long, template string, p int")
+
+    def buckets_of(self, rows: DataFrame, id_: str = "id") -> set[int]:
+        """The buckets of some rows' ids (a number bounded by the layout)."""
+        return set(rows.agg(F.collect_set(self.bucket(F.col(id_)))).first()[0])
 
     # ------------------------------------------------------------ reads
     def need_owner(self) -> None:
@@ -209,11 +216,11 @@ class Relation:
             return rows
         return rows.where(policy.condition(self, command, "using"))
 
-    def df(self, ids: tuple[int | None, int | None] | None = None) -> DataFrame:
-        """id, doc and business columns.  The cold side is read only if ``doc`` is used through this."""
+    def df(self, ids: tuple[int | None, int | None] | None = None, only: set[int] | None = None) -> DataFrame:
+        """id, doc and business columns, of all rows or of a range of ids or of some buckets."""
         self.need("read")
-        rows = self.visible(rows=self.hot(ids))
-        whole = rows.join(self.cold(), ["id", "p"])
+        rows = self.visible(rows=self.hot(ids, only))
+        whole = rows.join(self.cold(ids, only), ["id", "p"])
         doc = C.restore(F.col("template"), F.array(*self.hot_names), self.paths)
         return whole.select("id", doc.alias("doc"), *self._business())
 
@@ -439,11 +446,12 @@ class Relation:
         """Ordered operations (id, seq, op as JSON text) on their rows: id, template (null if only hot values changed), slots,
         results, error and business columns.  Rows whose operations all stay within hot values never see the cold side."""
         lists = ops.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "op")))["op"].alias("ops"))
-        rows = self.visible("update").join(lists, "id")
+        touched = self.buckets_of(ops)
+        rows = self.visible("update", self.hot(only=touched)).join(lists, "id")
         first = settled(rows.select("*", C.edited_hot(F.array(*self.hot_names), F.col("ops"), self.paths).alias("e")))
         business = [f"`c_{c}`" for c in self.meta.columns]
         fast = first.where("e.done OR e.error IS NOT NULL").select("id", F.lit(None).cast("string").alias("template"), "e.slots", "e.keys", "e.results", "e.error", *business)
-        slow = first.where("NOT e.done AND e.error IS NULL").join(self.cold(), ["id", "p"])
+        slow = first.where("NOT e.done AND e.error IS NULL").join(self.cold(only=touched), ["id", "p"])
         doc = C.restore(F.col("template"), F.array(*self.hot_names), self.paths)
         slow = slow.select("id", C.edited(doc, F.col("ops"), self.paths).alias("e"), *business)
         return fast.unionByName(slow.select("id", "e.template", "e.slots", "e.keys", "e.results", "e.error", *business))
@@ -513,7 +521,7 @@ class Relation:
 
     def _patched(self, id_: int, op: dict, expected: str | None, only_reads: bool) -> tuple[Relation, str | None]:
         self.need_writable()
-        row = self._one(self.df(), id_)
+        row = self._one(self.df(only=self.buckets_of(self.spark.range(id_, id_ + 1))), id_)
         if row is None:
             return self, None
         self.need_token(id_, expected)

@@ -55,8 +55,10 @@ def column(plan: Plan, paths: tuple, hot: list[str]) -> Column:
     return C.extract(value, plan.rest) if plan.rest else value
 
 
-def pruned(meta: Meta, buckets: dict[str, int], ids: tuple[int | None, int | None] | None) -> dict[str, int]:
-    """The buckets that can hold ids in [low, high)."""
+def pruned(meta: Meta, buckets: dict[str, int], ids: tuple[int | None, int | None] | None, only: set[int] | None = None) -> dict[str, int]:
+    """The buckets that can hold ids in [low, high), of those in ``only`` if given."""
+    if only is not None:
+        buckets = {p: v for p, v in buckets.items() if int(p) in only}
     if not ids or meta.partition["strategy"] != "range":
         return buckets
     low, high = ids

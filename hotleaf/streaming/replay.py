@@ -60,12 +60,16 @@ def apply_events(relation: Relation, events: DataFrame) -> Relation:
     last = settled(folded(own, columns))
     gone = last.where("gone").select("id")
     stay = last.where("NOT gone")
-    before = relation.df().select("id", *[F.col(f"`{c}`").cast("string").alias(f"was_{c}") for c in columns])
-    stay = stay.join(before.withColumnRenamed("id", "origin_id"), F.coalesce("origin", "id") == F.col("origin_id"), "left")
-    missing = F.lit(False)
+    unknown = F.lit(False)
     for c in columns:
-        missing |= F.col(c).isNull() & F.col("origin_id").isNull()
-    if stay.where(missing).limit(1).count():
+        unknown |= F.col(c).isNull()
+    # only events that leave columns unchanged look at the relation, and only at the buckets of their ids
+    need = stay.where(unknown).select(F.coalesce("origin", "id").alias("origin_id"))
+    touched = relation.buckets_of(need, "origin_id")
+    before = relation.df(only=touched).join(need.distinct(), F.col("id") == F.col("origin_id"), "left_semi")
+    before = before.select(F.col("id").alias("origin_id"), *[F.col(f"`{c}`").cast("string").alias(f"was_{c}") for c in columns])
+    stay = stay.join(before, F.coalesce("origin", "id") == F.col("origin_id"), "left")
+    if touched and stay.where(unknown & F.col("origin_id").isNull()).limit(1).count():
         raise DocError("55000", "an event leaves a column unchanged that is not known")
     values = [F.when(F.col(c).isNotNull(), F.col(c)["text"]).otherwise(F.col(f"was_{c}")).alias(c) for c in columns]
     typed = [F.col(c).cast(relation.meta.columns[c]).alias(c) if c != "doc" else F.col("doc") for c in columns]

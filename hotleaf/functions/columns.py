@@ -146,6 +146,13 @@ def edited_hot(slots: Column, ops: Column, paths: tuple) -> Column:
     return _mapped(one, EDIT)(slots, ops)
 
 
+def compared(value: Column, op: str, to: Any) -> Column:
+    """Order of documents (object > array > boolean > number > string > null) against a constant."""
+    test = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[op]
+    bound = K.sort_key(to)
+    return _mapped(lambda text: test(K.sort_key(K.parse(text)), bound), "boolean")(value)
+
+
 # ---------------------------------------------------------------- on the JVM
 def as_text(value: Column) -> Column:
     """``->>`` of JSON text: strings without quotes, null for JSON null.  No Python."""

@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hotleaf.errors import DocError
-from hotleaf.functions import columns as C
 from hotleaf.functions import kernel as K
 
 if TYPE_CHECKING:
@@ -22,6 +21,7 @@ NODES = {
     "Literal", "UnresolvedAttribute", "UnresolvedFunction", "Cast", "CaseWhen", "Coalesce", "Add", "Subtract", "Multiply", "UnaryMinus",
 }
 FUNCTIONS = {"json_type", "lower", "upper", "length", "abs", "coalesce", "nullif", "array", "current_user", "policy_field", "policy_text"}
+_TYPE = re.compile(r"json_type\(\s*policy_field\(\s*'((?:[^'])*)'\s*\)\s*\)")
 _FIELD = re.compile(r"policy_(field|text)\(\s*'((?:[^'])*)'\s*\)")
 
 
@@ -76,7 +76,11 @@ def compiled(relation: Relation, text: str) -> Column:
         h = f"h{relation._slot(K.parse(m[2]))}"
         return h if m[1] == "field" else f"(CASE WHEN {h} = 'null' THEN NULL WHEN {h} LIKE '\"%' THEN get_json_object({h}, '$') ELSE {h} END)"
 
-    text = _FIELD.sub(field, text)
+    def kind(m: re.Match) -> str:
+        first = f"left(h{relation._slot(K.parse(m[1]))}, 1)"
+        return f"(CASE {first} WHEN '{{' THEN 'object' WHEN '[' THEN 'array' WHEN '\"' THEN 'string' WHEN 't' THEN 'boolean' WHEN 'f' THEN 'boolean' WHEN 'n' THEN 'null' ELSE if({first} IS NULL, NULL, 'number') END)"
+
+    text = _FIELD.sub(field, _TYPE.sub(kind, text))
     user = "'" + (relation.user or "").replace("'", "''") + "'"
     text = re.sub(r"\bcurrent_user(\(\))?", user, text)
     for c in sorted(relation.meta.columns, key=len, reverse=True):
@@ -97,6 +101,3 @@ def condition(relation: Relation, command: str, side: str) -> Column:
             either |= rule
     return either & every
 
-
-def json_type(value: Column) -> Column:
-    return C.typeof(value)

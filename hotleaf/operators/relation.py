@@ -278,6 +278,12 @@ class Relation:
             rows = rows.join(self.cold(), ["id", "p"])
         return rows.where(C.key_of(resolver.column(plan, self.paths, self.hot_names)) == key).select("id")
 
+    def find_ids_compared(self, path: list[str], op: str, value: Any) -> DataFrame:
+        """Ids of documents whose value at a path is <, <=, > or >= a JSON value, in the order of documents."""
+        if op not in ("<", "<=", ">", ">="):
+            raise DocError("22023", f"unknown comparison {op}")
+        return self.fields(value=path).where(C.compared(F.col("value"), op, value)).select("id")
+
     def explain_find_ids(self, path: list[str], value: Any) -> str:
         return self.find_ids(path, value)._jdf.queryExecution().toString()
 

@@ -60,6 +60,8 @@ def test_fields_and_searches(docs):
     assert ids(docs.find_ids(["count"], K.parse("2.5"))) == [2]
     assert ids(docs.find_ids(["items", "0", "name"], "b")) == [2]
     assert ids(docs.find_ids(["cold"], {"x": 1})) == [1]
+    assert ids(docs.find_ids_compared(["count"], ">=", 2)) == [2, 3]
+    assert ids(docs.find_ids_compared(["state"], "<", "z")) == [1, 2]
     plain = docs.catalog.__class__(docs.spark, docs.catalog.root, rewrite=False).relation("public.docs")
     for path, value in ((["count"], 3), (["items", "0", "name"], "a"), (["state"], None)):
         assert ids(docs.find_ids(path, value)) == ids(plain.find_ids(path, value))
@@ -215,6 +217,8 @@ def test_row_policies(docs):
     assert state(r.set_policy, "x", "select", ["ghost"], using="true") == "42704"
     r = r.set_policy("few", "select", ["public"], using="""policy_field('["count"]') = '1'""", restrictive=True)
     assert ids(mine("t1").fields()) == [1]
+    r = r.drop_policy("few").set_policy("kind", "select", ["public"], using="""json_type(policy_field('["count"]')) = 'number'""", restrictive=True)
+    assert ids(mine("t1").fields()) == [1] and ids(mine("t2").fields()) == [2]
     assert docs.catalog.relation("public.docs").fields().count() == 4
 
 

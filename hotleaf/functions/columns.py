@@ -7,7 +7,7 @@ job over many rows ends with one error and publishes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -25,6 +25,12 @@ def _text(value: Any) -> str | None:
     return None if value is K.MISSING else K.dump(value)
 
 
+@lru_cache(4096)
+def _op(text: str) -> dict:
+    """An operation; many rows share its text, and nothing changes a parsed value in place."""
+    return K.parse(text)
+
+
 def _key(value: Any) -> str | None:
     return None if value is K.MISSING else K.key_of(value)
 
@@ -117,7 +123,7 @@ def edited(doc: Column, ops: Column, paths: tuple) -> Column:
         try:
             doc, results = K.parse(text), []
             for op in ops:
-                doc, result = K.apply_op(doc, K.parse(op))
+                doc, result = K.apply_op(doc, _op(op))
                 results.append(K.dump(result))
             template, values = K.pack(doc, paths)
         except DocError as e:
@@ -134,7 +140,7 @@ def edited_hot(slots: Column, ops: Column, paths: tuple) -> Column:
         try:
             values, results = [_value(t) for t in texts], []
             for op in ops:
-                step = K.apply_hot(paths, values, K.parse(op))
+                step = K.apply_hot(paths, values, _op(op))
                 if step is None:
                     return {"done": False}
                 values, result = step

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +11,7 @@ from hotleaf.functions import columns as C
 from hotleaf.functions import kernel as K
 from hotleaf.operators.relation import Catalog, Relation
 from hotleaf.sources import portability as P
+from hotleaf.sources.checkpoints import shared_base
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,8 +31,7 @@ def _query(sql: str | None):
 # ---------------------------------------------------------------- document tables
 def _catalog(spark: SparkSession) -> Catalog:
     """A catalog of its own, in the folder that executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return Catalog(spark, f"{base.rstrip('/')}/hotleaf-{uuid.uuid4().hex}")
+    return Catalog(spark, f"{shared_base(spark)}/hotleaf-{uuid.uuid4().hex}")
 
 
 def _event_docs(spark, sf_dir) -> DataFrame:

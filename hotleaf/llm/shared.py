@@ -1,22 +1,5 @@
 """Cutting lineage in the folder that all executors share."""
 
-from __future__ import annotations
+from hotleaf.sources.checkpoints import settled
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> None:
-    """Takes the folder from ``spark.checkpoint.dir``; sets one of its own only where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hotleaf-checkpoint-"))
-
-
-def settled(frame: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+__all__ = ["settled"]

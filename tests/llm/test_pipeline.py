@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -79,3 +80,45 @@ def test_stages_take_awkward_rows(spark, tmp_path):
             out = stage(spark, spark.createDataFrame(data, schema), str(tmp_path))
             assert name == "packing" or out.columns == ["doc_id", "text", "chunk", "lang", "keep"]
             out.collect()
+
+
+def test_near_dedup_against_brute_force_jaccard(spark, tmp_path):
+    r = random.Random(5)
+    rows = []
+    for k in range(25):
+        words = [f"w{r.randrange(500)}" for _ in range(r.choice([30, 60, 150]))]
+        for _ in range(r.choice([1, 3, 6])):
+            rows.append((len(rows), " ".join(words)))
+            if r.random() < 0.5:  # copies at all similarities, also chains
+                words = list(words)
+            for _ in range(r.choice([0, 1, 2, 4])):
+                words[r.randrange(len(words))] = f"n{r.randrange(10**6)}"
+    rows += [(400, rows[3][1]), (2, rows[9][1] + " and other words that are the end"), (None, rows[5][1]), (None, "text of a row without id"), (None, "text of a row without id"), (401, ""), (402, None), (403, "one two"), (404, "one two")]
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets = [grams(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    least = {}
+    for g, (i, _) in zip(group, rows, strict=True):
+        least[g] = min(least.get(g, (True, 0)), (i is None, i or 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in out) == sorted(least.values())
+    assert set(map(tuple, out)) <= set(rows) and 25 < len(out) < len(rows) - 20
+
+
+def test_search_of_a_list_joins_all_components():
+    from hotleaf.llm.near_copies import joined
+
+    r = random.Random(6)
+    base = [r.randrange(1 << 60) for _ in range(100)]
+    sets = [np.unique(np.array(base[k : k + 80], np.uint64)) for k in range(0, 21, 4)] + [np.unique(np.array(base[:5] + [r.randrange(1 << 60) for _ in range(75)], np.uint64)) for _ in range(3)]
+    found = joined(list(range(9)), list(range(9)), sets)
+    assert len(found) == 5 and {x for pair in found for x in pair} == set(range(6))

@@ -173,8 +173,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 _BIN = "level int, sequence_id long, used long, final boolean, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
 
-def _packed(level: int, where: int, table: pa.Table, capacity: int, least: int) -> pa.Table:
-    """Packs items (used, members) into bins."""
+def _packed(level: int, where: int, table: pa.Table, capacity: int, least: int, first: int = 0) -> pa.Table:
+    """Packs items (used, members) into bins, numbered from ``first`` on among those of their level and partition or group."""
     used = np.asarray(table.column("used").combine_chunks()).astype(np.int64)
     bins, offsets = best_fit(used, capacity)
     n = int(bins.max()) + 1 if len(bins) else 0
@@ -192,7 +192,7 @@ def _packed(level: int, where: int, table: pa.Table, capacity: int, least: int)
     return pa.table(
         {
             "level": pa.array([level] * n, pa.int32()),
-            "sequence_id": pa.array((np.int64(level) << 56) + (np.int64(where) << 32) + np.arange(n)),
+            "sequence_id": pa.array((np.int64(level) << 56) + (np.int64(where) << 32) + np.arange(first, first + n)),
             "used": pa.array(filled),
             "final": pa.array(free <= max(SLACK, least - 1)),
             "members": pa.ListArray.from_arrays(pa.array(edges), members),
@@ -214,15 +214,16 @@ def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, fan_in: int = 4) -> D
     items = rows.select(F.col("length").alias("used"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))).alias("members"))
 
     def first(batches):
-        part, held, count, n = TaskContext.get().partitionId(), [], 0, 0
+        part, held, count, bins = TaskContext.get().partitionId(), [], 0, 0
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
             if count >= 4 * GROUP_ITEMS:
-                yield from _packed(0, part * 64 + n, pa.Table.from_batches(held), capacity, least).to_batches()
-                held, count, n = [], 0, min(n + 1, 63)
+                packed = _packed(0, part, pa.Table.from_batches(held), capacity, least, bins)
+                yield from packed.to_batches()
+                held, count, bins = [], 0, bins + packed.num_rows
         if count:
-            yield from _packed(0, part * 64 + n, pa.Table.from_batches(held), capacity, least).to_batches()
+            yield from _packed(0, part, pa.Table.from_batches(held), capacity, least, bins).to_batches()
 
     level, packed = 0, settled(items.mapInArrow(first, _BIN))
     done = packed.where("final")

@@ -151,6 +151,21 @@ def test_packing(docs, rows, none):
     assert packing.pack_pieces(packing.pieces(none)).count() == 0
 
 
+def test_packing_numbers_bins_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        rows = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "IF(id % 2 = 0, 4096L, 2000L) AS length", "id AS ids_crc32")
+        out = packing.pack_pieces(rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ends: dict = {}
+    for x in sorted(out, key=lambda x: (x["sequence_id"], x["offset"])):
+        assert x["offset"] == ends.get(x["sequence_id"], 0)
+        ends[x["sequence_id"]] = x["offset"] + x["length"]
+    assert len(out) == 400 and max(ends.values()) <= packing.CAPACITY
+
+
 def test_pieces_carry_their_ids(docs):
     for x in packing.pieces(docs, capacity=100, with_ids=True).collect():
         assert len(x["ids"]) == x["length"] <= 100

@@ -1,11 +1,12 @@
 """Chunked key exchange: how the corpus-wide operators ask "where else does this occur?".
 
-Documents are dealt into chunks of about ``CHUNK_BYTES`` of text by a hash of their id.  A chunk computes all
-its keys (hashes of lines, words, byte strings ...) in numpy, keeps each *once*, and sends them, sorted and
-delta-coded, to the buckets of the key range.  A bucket merges what all chunks sent and answers each chunk
-about its own keys.  A key that a third of all documents share is thus one entry per chunk, not one row per
-document: hot keys are combined before they travel, and no task's share grows with a key's popularity.
-Rows that travel are blobs, so the cost per key is that of numpy, not of a Spark row.
+Documents are dealt into chunks by a hash of id and text, so that rows without an id, or with the same one, don't gather
+in one task.  A chunk computes all its keys (hashes of lines, words, byte strings ...) in numpy, keeps each *once*, and
+sends them, sorted and delta-coded, to the buckets of the key range.  A bucket merges what all chunks sent and answers
+each chunk about its own keys.  A key that a third of all documents share is thus one entry per chunk, not one row per
+document.  Chunks grow with the corpus from ``CHUNK_BYTES`` to ``CHUNK_MOST`` of text, so at 100 TB such a key has
+about six million entries (some 70 MB) in its bucket.  A chunk's work and rows are bounded by its own keys, whatever the
+number of buckets: only buckets that it has keys for are visited.
 
 All stages are ordinary lazy DataFrames (repartition, grouped and co-grouped Arrow functions), so lost
 executors cost a recomputation only.  The exchange that deals out the texts is the same plan node each time and
@@ -20,12 +21,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, CHUNK_MOST = 2 << 20, 16 << 20
+CHUNKS = 2048
 BUCKET_BYTES = 32 << 20
+#: Blobs of few keys aren't worth compressing.
+_SMALL = 128
 _REQUEST = "bucket int, chunk int, body binary"
 
 
@@ -40,11 +45,12 @@ def pack(*arrays: np.ndarray, delta: bool = True) -> bytes:
             a = np.concatenate([a[:1], np.diff(a)])
         parts.append(struct.pack("<2sQ", kind, len(a)))
         parts.append(a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
-    return zstandard.compress(b"".join(parts), 1)
+    raw = b"".join(parts)
+    return b"\0" + raw if len(raw) < _SMALL else b"\1" + zstandard.compress(raw, 1)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.decompress(blob)
+    raw = zstandard.decompress(blob[1:]) if blob[0] else blob[1:]
     count, delta = struct.unpack_from("<BB", raw)
     at, out = 2, []
     for k in range(count):
@@ -58,13 +64,20 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def again(keys: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """Whether each key is sent twice or more, or marked as being found several times by its sender."""
+    _, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return ((n > 1) | (np.bincount(which, several) > 0))[which]
+
+
 def split(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
     """The ranges of sorted uint64 keys that go to each bucket: bucket b holds [b, b + 1) of n equal key ranges."""
+    if not len(keys):
+        return
     at = (keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
-    edges = np.searchsorted(at, np.arange(n_buckets + 1, dtype=np.uint64))
-    for b in range(n_buckets):
-        if edges[b + 1] > edges[b]:
-            yield b, slice(int(edges[b]), int(edges[b + 1]))
+    edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(keys)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(at[a]), slice(a, b)
 
 
 def inside(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +97,7 @@ class Merged:
         self.chunks = [c for c, _ in sent]
         self.edges = np.concatenate([[0], np.cumsum([len(c[0]) for c in columns])]).astype(np.int64)
         self.columns = [np.concatenate(x) for x in zip(*columns, strict=True)]
+        self.chunk = np.repeat(np.array(self.chunks, np.int64), np.diff(self.edges))
 
     def slices(self) -> Iterator[tuple[int, slice]]:
         for k, chunk in enumerate(self.chunks):
@@ -92,9 +106,16 @@ class Merged:
 
 # ---------------------------------------------------------------- documents of a chunk
 class Docs:
-    """The documents of a chunk: ids (None where null), their bytes in one array, and where each begins."""
+    """The documents of a chunk: ids (None where null), their bytes in one array, and where each begins.
+
+    With ``ordered`` they come in the order of id and text, so that a place in the chunk is the same in all stages.
+    """
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, ordered: bool = False):
+        if ordered:
+            ids = table.column("doc_id").combine_chunks().fill_null(np.iinfo(np.int64).max)
+            marks = [xxhash.xxh3_64_intdigest(x or "") for x in table.column("text").to_pylist()]
+            table = table.take(pa.array(np.lexsort((np.array(marks, np.uint64), np.asarray(ids)))))
         text = table.column("text")
         text = (text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text).cast(pa.large_string()).fill_null("")
         if isinstance(text, pa.ChunkedArray):
@@ -120,28 +141,33 @@ class Docs:
 class Deal:
     """Documents dealt into chunks, and the stages that run over them."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES):
-        size, rows = docs.agg(F.sum(F.octet_length(F.col(text_col))), F.count(F.lit(1))).first()
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, ordered: bool = False):
+        self.ordered = ordered
+        own_id, own_text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+        size, rows = docs.agg(F.sum(F.octet_length(own_text)), F.count(F.lit(1))).first()
         total = (size or 0) + 64 * (rows or 0)
         self.total = total
+        chunk_bytes = max(chunk_bytes, min(CHUNK_MOST, total // CHUNKS))
         self.n_chunks = max(1, math.ceil(total / chunk_bytes))
         self.n_buckets = max(1, math.ceil(total / bucket_bytes))
         wanted = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
         parts = max(1, min(self.n_chunks, max(wanted, math.ceil(total / (32 << 20)))))
         columns: list[Column] = [
-            F.pmod(F.xxhash64(F.col(id_col)), F.lit(self.n_chunks)).cast("int").alias("chunk"),
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(text_col).cast("string").alias("text"),
+            F.pmod(F.xxhash64(own_id, own_text), F.lit(self.n_chunks)).cast("int").alias("chunk"),
+            own_id.alias("doc_id"),
+            own_text.alias("text"),
         ]
         if carry:
-            columns.append(F.struct(*[F.col(c) for c in carry]).alias("rest"))
+            columns.append(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest"))
+        self.parts = parts
         self.docs = docs.select(*columns).repartition(parts, "chunk")
 
     def ask(self, make: Callable[[Docs, list], Iterator[tuple[int, bytes]]], answers: DataFrame | None = None) -> DataFrame:
         """make(docs, answers so far) gives (bucket, blob).  Bucket -1 is an echo: it comes back to its chunk."""
+        ordered = self.ordered
 
         def rows(chunk: int, docs: pa.Table, got: list) -> pa.Table:
-            made = list(make(Docs(docs), got))
+            made = list(make(Docs(docs, ordered), got))
             return pa.table(
                 {
                     "bucket": pa.array([b if b >= 0 else -1 - chunk for b, _ in made], pa.int32()),
@@ -181,8 +207,10 @@ class Deal:
         return requests.groupBy("bucket").applyInArrow(run, _REQUEST)
 
     def finish(self, answers: DataFrame, make: Callable[[Docs, list], pa.Table], schema) -> DataFrame:
+        ordered = self.ordered
+
         def run(key, docs, got):
-            return make(Docs(docs), received(got))
+            return make(Docs(docs, ordered), received(got))
 
         return self.docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
@@ -278,13 +306,24 @@ def words_of(buf: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return lo, hi, np.searchsorted(edges, lo, "right") - 1
 
 
-def word_ids(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int = 1 << 18) -> np.ndarray:
-    """A 64-bit identifier of each word, computed over stretches of about ``step`` bytes."""
-    out = np.empty(len(lo), np.uint64)
+def word_ids(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A 64-bit identifier of each word: its bytes, eight at a time, are scrambled into the length one after another.
+
+    Unlike a polynomial modulo 2**64 no step is linear, so no pair of long words collides by construction; words of
+    up to eight bytes and one length have different identifiers.
+    """
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    size = hi - lo
+    out = mix(size.astype(np.uint64) * _BASE)
+    left = np.arange(len(lo))
     at = 0
-    while at < len(lo):
-        to = max(at + 1, int(np.searchsorted(lo, lo[at] + step)))
-        base = lo[at]
-        out[at:to] = Rolling(BYTE_VALUES[buf[base : hi[to - 1]]]).spans(lo[at:to] - base, hi[at:to] - base)
-        at = to
+    while len(left):
+        rest = size[left] - at
+        lane = lanes[lo[left] + at]
+        short = rest < 8
+        lane[short] &= (_U(1) << (rest[short].astype(np.uint64) * _U(8))) - _U(1)
+        out[left] = mix(out[left] * _U(0xD6E8FEB86659FD93) ^ lane)
+        at += 8
+        left = left[rest > 8]
     return out

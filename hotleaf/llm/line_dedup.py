@@ -52,18 +52,20 @@ def _first_places(d: Docs, least: int) -> dict[bytes, tuple[int, int]]:
 
 
 def _stream(batches):
-    """Over rows sorted by key, document and position: all but the first of each key."""
+    """Over rows sorted by key, document and position: those of other documents than the first of each key."""
     last = None
     for batch in batches:
-        high, low = np.asarray(batch.column("high")), np.asarray(batch.column("low"))
+        high, low, owner = (np.asarray(batch.column(c)) for c in ("high", "low", "doc_id"))
         if not len(high):
             continue
-        again = np.empty(len(high), bool)
-        again[1:] = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
-        again[0] = last == (high[0], low[0])
-        last = high[-1], low[-1]
-        some = pa.array(np.flatnonzero(again))
-        yield batch.select(["chunk", "high", "low"]).take(some)
+        new = np.ones(len(high), bool)
+        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(high)), 0))
+        source = owner[first]
+        if last is not None and last[:2] == (high[0], low[0]):
+            source[first == 0] = last[2]
+        last = high[-1], low[-1], source[-1]
+        yield batch.select(["chunk", "high", "low"]).take(pa.array(np.flatnonzero(owner != source)))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, with_text: bool = False, with_digest: bool = True, carry: list[str] | None = None) -> DataFrame:

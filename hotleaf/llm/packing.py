@@ -3,7 +3,7 @@
 Tokenizing yields one small row per piece.  Each partition of pieces is packed best-fit, longest first; bins that
 are nearly full, or that not even the shortest piece could still enter, are final.  The other bins become items of
 their own (a bin travels whole, with its pieces), are dealt into a quarter as many groups, and are packed again,
-until one group is left or nothing moves.  A group has a bounded number of items, and what climbs the tree are
+until one group is left or hardly anything moves.  A group has a bounded number of items, and what climbs the tree are
 underfull bins only, so no task sees more than its share.
 
 A null or empty text has no ids but the end mark and makes one piece of length one.  Rows that repeat are packed
@@ -19,7 +19,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,7 +143,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(columns[3])]).astype(np.int32)), flat))
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
@@ -170,11 +169,11 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
-_BIN = "level int, sequence_id long, used long, final boolean, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
+_BIN = "used long, final boolean, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
 
-def _packed(level: int, where: int, table: pa.Table, capacity: int, least: int, first: int = 0) -> pa.Table:
-    """Packs items (used, members) into bins, numbered from ``first`` on among those of their level and partition or group."""
+def _packed(table: pa.Table, capacity: int, least: int) -> pa.Table:
+    """Packs items (used, members) into bins."""
     used = np.asarray(table.column("used").combine_chunks()).astype(np.int64)
     bins, offsets = best_fit(used, capacity)
     n = int(bins.max()) + 1 if len(bins) else 0
@@ -191,8 +190,6 @@ def _packed(level: int, where: int, table: pa.Table, capacity: int, least: int,
     free = capacity - filled
     return pa.table(
         {
-            "level": pa.array([level] * n, pa.int32()),
-            "sequence_id": pa.array((np.int64(level) << 56) + (np.int64(where) << 32) + np.arange(first, first + n)),
             "used": pa.array(filled),
             "final": pa.array(free <= max(SLACK, least - 1)),
             "members": pa.ListArray.from_arrays(pa.array(edges), members),
@@ -200,30 +197,34 @@ def _packed(level: int, where: int, table: pa.Table, capacity: int, least: int,
     )
 
 
-def _again(level: int, capacity: int, least: int):
+def _again(capacity: int, least: int):
     def run(key, table):
-        return _packed(level, key[0].as_py(), table, capacity, least)
+        return _packed(table, capacity, least)
 
     return run
 
 
-def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, fan_in: int = 4) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
+def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, fan_in: int = 4, group_items: int = GROUP_ITEMS) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
+
+    Rounds go on until one group is left, or a round joins fewer than one bin in a thousand: best-fit leaves at most
+    one bin in a group of ``group_items`` that is half full or emptier.  Sequences are numbered at the end, by partition
+    and place in it, over the checkpointed bins of all rounds.
+    """
     rows = settled(rows)
     least = rows.agg(F.min("length")).first()[0] or 1
     items = rows.select(F.col("length").alias("used"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))).alias("members"))
 
     def first(batches):
-        part, held, count, bins = TaskContext.get().partitionId(), [], 0, 0
+        held, count = [], 0
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            if count >= 4 * GROUP_ITEMS:
-                packed = _packed(0, part, pa.Table.from_batches(held), capacity, least, bins)
-                yield from packed.to_batches()
-                held, count, bins = [], 0, bins + packed.num_rows
+            if count >= 4 * group_items:
+                yield from _packed(pa.Table.from_batches(held), capacity, least).to_batches()
+                held, count = [], 0
         if count:
-            yield from _packed(0, part, pa.Table.from_batches(held), capacity, least, bins).to_batches()
+            yield from _packed(pa.Table.from_batches(held), capacity, least).to_batches()
 
     level, packed = 0, settled(items.mapInArrow(first, _BIN))
     done = packed.where("final")
@@ -231,13 +232,14 @@ def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, fan_in: int = 4) -> D
     groups = packed.rdd.getNumPartitions()
     while True:
         n = left.count()
-        if not n or (groups == 1 and level) or before is not None and n > 0.98 * before and groups > 1 and n > GROUP_ITEMS:
-            return done.union(left).select(F.explode("members").alias("m"), "sequence_id").select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
+        if not n or (groups == 1 and level) or before is not None and n > 0.999 * before and groups > 1 and n > group_items:
+            numbered = done.union(left).select(F.monotonically_increasing_id().alias("sequence_id"), "members")
+            return numbered.select(F.explode("members").alias("m"), "sequence_id").select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
         before, level = n, level + 1
-        groups = max(1, -(-n // GROUP_ITEMS), groups // fan_in if n > 64 * groups else 1)
+        groups = max(1, -(-n // group_items), groups // fan_in if n > 64 * groups else 1)
 
-        dealt = left.withColumn("group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).cast("int")).select("group", "used", "members")
-        packed = settled(dealt.groupBy("group").applyInArrow(_again(level, capacity, least), _BIN))
+        dealt = left.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(groups)).cast("int")).select("group", "used", "members")
+        packed = settled(dealt.groupBy("group").applyInArrow(_again(capacity, least), _BIN))
         done, left = done.union(packed.where("final")), packed.where("not final")
 
 

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from hotleaf.llm import decontaminate, graph, language_id, line_dedup, lm_score, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, toxicity
+from hotleaf.llm import decontaminate, graph, language_id, line_dedup, lm_score, packing, quality_rules, shared, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, chunk string, bucket int, body string, rest int"
@@ -233,13 +233,24 @@ def test_decontamination(spark, docs, rows, none):
     assert decontaminate.contained_items(docs, table.limit(0)).count() == 0
 
 
-def test_sketches_find_by_shuffle_too(spark, docs, monkeypatch):
+def test_sketches_find_block_by_block(spark, docs, monkeypatch):
     items = docs.selectExpr("doc_id AS item_id", "substring(text, 1, 150) AS text").where("doc_id IS NOT NULL").dropDuplicates(["item_id"])
     want = sorted(map(tuple, decontaminate.contained_items(docs, items).collect()), key=str)
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, decontaminate.contained_items(docs, items).collect()), key=str) == want and want
 
 
+def test_candidates_come_from_kept_hashes(spark):
+    words = [f"w{k}" for k in range(24)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    kept = decontaminate.item_sketches(items).first()
+    assert kept["n_shingles"] == 20 and len(kept["kept"]) == 32 - 26 + 1
+    docs = [(1, " ".join(words[:9])), (2, " ".join(words[9:])), (3, " ".join(words[2:])), (None, " ".join(words[:14])), (None, " ".join(words[10:]))]
+    got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert [(x["doc_id"], x["n_common"]) for x in got] == [(3, 18)]
+
+
 def test_language_id(spark, none):
     r = random.Random(1)
     stock = {"aa": ["la", "le", "que", "vous", "étoile"], "bb": ["der", "die", "und", "straße", "über"]}

@@ -86,7 +86,7 @@ def _sum(key, table):
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their (SIZE + 1) x languages matrix of log probabilities; the last row is the log prior."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
+    rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string"))
     kind = "lang string, docs long, counts binary"
     found = sorted(rows.mapInArrow(_count, kind).groupBy("lang").applyInArrow(_sum, kind).collect(), key=lambda r: r["lang"])
     if not found:
@@ -127,13 +127,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 score += [float(chance[k]) if letter[k] else 0.0 for k in range(n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def fold(id_col: str, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
+    return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))) % n
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from hotleaf.llm import decontaminate, graph, language_id, line_dedup, lm_score, packing, quality_rules, shared, simhash_dedup, substring_dedup, suffix_dedup, toxicity
+from hotleaf.llm import decontaminate, exchange, graph, language_id, line_dedup, lm_score, packing, quality_rules, shared, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, chunk string, bucket int, body string, rest int"
@@ -278,6 +278,32 @@ def test_language_counts_equal_plain_ones(spark):
         assert np.isclose((counts[:, k] * total - 0.5).sum(), grams[lang], atol=1e-2)
 
 
+def test_language_predictions_equal_plain_bayes(spark):
+    """Multinomial naive Bayes over the same hash slots, one text at a time."""
+    r = random.Random(8)
+    stock = {"aa": "la le que étoile vous", "bb": "der die straße über und", "cc": "the of and with his"}
+    rows = [(k, " ".join(r.choice(stock[lang].split()) for _ in range(r.randrange(1, 9))), lang) for k in range(150) for lang in [r.choice(sorted(stock))]]
+    rows += [(200, "la der the", None), (201, "...", "aa"), (202, "Straße LA", None)]
+
+    def slots(text):
+        points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+        return [int(x) for g in language_id._grams(points, np.array([0, len(points)])) for x in g if x < language_id.SIZE] if len(points) else []
+
+    counts, docs_of = {}, {}
+    for _, text, lang in rows:
+        if lang:
+            own = counts.setdefault(lang, np.full(language_id.SIZE, 0.5))
+            np.add.at(own, slots(text), 1)
+            docs_of[lang] = docs_of.get(lang, 0) + 1
+    want = {}
+    for i, text, _ in rows:
+        sums = {x: np.log(docs_of[x] / sum(docs_of.values())) + sum(np.log(c[k] / c.sum()) for k in slots(text)) for x, c in counts.items()}
+        want[i] = max(sorted(sums), key=sums.get) if any(c.isalpha() for c in text) else "und"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {x["doc_id"]: x["lang_pred"] for x in language_id.predict(docs, language_id.train(docs)).collect()}
+    assert got == want
+
+
 def test_toxicity(spark, none):
     r = random.Random(2)
     plain = ["river", "stone", "window", "garden", "letter", "music", "bread", "road", "winter", "paper", "silver", "morning"]
@@ -308,14 +334,99 @@ def test_lm_score(docs, rows, none):
     assert lm_score.score_texts(none).count() == 0
 
 
-def test_lm_probabilities_sum_to_one_over_bits():
-    r = random.Random(4)
-    words = sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(200)})
+def test_lm_score_over_many_chunks_whatever_the_partitions(spark, docs, rows):
+    sizes = {"chunk_bytes": 4000, "bucket_bytes": 3000}
+    first = lm_score.score_texts(docs, **sizes).collect()
+    same([(*tuple(x)[:5], round(x["base_score"], 6)) for x in first], brute.op2(rows))
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        same(lm_score.score_texts(docs.repartition(7), **sizes).collect(), first)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def _vocabulary(r: random.Random, n: int) -> lm_score.Vocabulary:
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(n)})
     body = np.frombuffer("".join(words).encode(), np.uint8)
     sizes = np.array([len(w) for w in words], np.uint32)
-    v = lm_score.Vocabulary(np.arange(1, len(words) + 1, dtype=np.uint64), sizes, body, np.ones((len(words), lm_score.KINDS), np.int64))
-    flat = lm_score.Model(np.zeros((lm_score.MODELS, 1 << lm_score.BITS), np.float32), np.zeros(1 << lm_score.BITS, np.uint8), np.full((lm_score.GATES, lm_score.MODELS), 0.3, np.float32), np.ones(lm_score.KINDS), 1, 1.0)
-    assert np.allclose(flat.word_bits(v), -8 * (sizes + 1.0) * np.log(2))
+    counts = np.array([[r.randrange(4) * r.randrange(3) for _ in range(lm_score.KINDS)] for _ in words], np.int64)
+    return lm_score.Vocabulary(np.array(sorted(r.getrandbits(64) for _ in words), np.uint64), sizes, body, counts)
+
+
+def test_lm_probabilities_of_known_words_sum_to_one():
+    v = _vocabulary(random.Random(4), 300)
+    known = np.flatnonzero(v.counts.sum(1))
+    weights, mass = lm_score._refine_known(v.keys[known], v.counts[known], 0)
+    assert mass.sum() > 0 and np.isfinite(weights).all()
+    costs = lm_score.known_costs(v.keys[known], v.counts[known], range(0, 64), weights)
+    assert np.allclose(np.exp(costs).sum(0), 1)
+    # cut at a depth, the beginnings' shares and the rest multiply to the same
+    top = np.unique(v.keys[known] >> np.uint64(62), return_inverse=True)
+    totals = np.stack([np.bincount(top[1], v.counts[known, k]) for k in range(lm_score.KINDS)], 1).astype(np.int64)
+    shares = lm_score.known_costs(top[0] << np.uint64(62), totals, range(0, 2), weights)
+    rest = np.concatenate([lm_score.known_costs(v.keys[known][top[1] == t], v.counts[known][top[1] == t], range(2, 64), weights) for t in range(len(top[0]))])
+    assert np.allclose(shares[top[1]] + rest, costs)
+
+
+def test_lm_spelling_sums_to_one_over_bits():
+    v = _vocabulary(random.Random(4), 200)
+    kinds = np.ones(lm_score.KINDS)
+    flat = lm_score.Model(np.zeros((lm_score.MODELS, 1 << lm_score.BITS), np.float32), np.zeros(1 << lm_score.BITS, np.uint8), np.full((lm_score.GATES, lm_score.MODELS), 0.3, np.float32), lm_score._START, kinds, kinds, np.zeros((1, lm_score.KINDS)), 1, 0)
+    assert np.allclose(flat.word_bits(v), -8 * (v.sizes + 1.0) * np.log(2))
+
+
+def thue_morse() -> tuple[str, str]:
+    """Two words that every polynomial hash modulo 2**64 takes for one."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_are_told_apart(spark):
+    a, b = thue_morse()
+    tail = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{a} {tail}"), (3, f"{b} {tail}"), (4, f"{b} {tail}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(substring_dedup.dedup_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute.op7(rows))
+    same([(*tuple(x)[:5], round(x["base_score"], 6)) for x in lm_score.score_texts(docs).collect()], brute.op2(rows))
+
+
+def test_exchange_over_many_chunks_and_buckets(docs, rows):
+    sizes = {"chunk_bytes": 2000, "bucket_bytes": 1500}
+    same(suffix_dedup.dedup_substrings(docs, **sizes).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), brute.op1(rows))
+    same(substring_dedup.dedup_passages(docs, **sizes).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute.op7(rows))
+
+
+def test_line_dedup_over_many_chunks(docs, rows, monkeypatch):
+    monkeypatch.setattr(exchange.Deal.__init__, "__defaults__", ("doc_id", "text", None, 2000, 1500, False))
+    same(line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect(), brute.op6(rows))
+
+
+def test_passages_are_verified_at_their_source(spark, docs, rows, monkeypatch):
+    """With identifiers that confuse most words nothing is cut that the words don't bear out."""
+    weak = lambda buf, lo, hi: exchange.mix((hi - lo).astype(np.uint64) % np.uint64(3))
+    monkeypatch.setattr(exchange, "word_ids", weak)
+    right = {(x[0], x[1], x[3]): x[2] for x in brute.op7(rows)}
+    want = {}
+    for i, n, removed, _ in brute.op7(rows):
+        want.setdefault((i is None, i or 0, n), []).append(removed)
+    for x in substring_dedup.dedup_passages(docs).collect():
+        assert x["n_removed"] <= max(want[x["doc_id"] is None, x["doc_id"] or 0, x["n_words"]])
+    assert right
+
+
+def test_packing_in_tiny_groups(spark):
+    rows = spark.range(0, 3000, 1, 7).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1 + id * 7919 % 3000 AS length", "id AS ids_crc32")
+    out = packing.pack_pieces(rows, group_items=20).collect()
+    ends: dict = {}
+    for x in sorted(out, key=lambda x: (x["sequence_id"], x["offset"])):
+        assert x["offset"] == ends.get(x["sequence_id"], 0)
+        ends[x["sequence_id"]] = x["offset"] + x["length"]
+    assert len(out) == 3000 and max(ends.values()) <= packing.CAPACITY
+    assert len(ends) <= 1.02 * sum(ends.values()) / packing.CAPACITY + 1
 
 
 @pytest.mark.parametrize(("name", "sql"), [("op3_quality_rules", quality_rules.OP3_SQL), ("op6_line_dedup", line_dedup.OP6_SQL), ("op8_decontaminate", decontaminate.OP8_SQL)])

@@ -82,6 +82,24 @@ def test_stages_take_awkward_rows(spark, tmp_path):
             out.collect()
 
 
+def test_rows_are_judged_each_for_itself(spark, tmp_path):
+    leak = "these are the words of one item that nobody should ever learn from a text"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    half = leak.split()
+    schema = "doc_id long, text string, `meta.url` string, __nth int, __leak int, __key int, rest string"
+    rows = [(None, f"before {leak} after"), (None, "a clean text without any id at all"), (7, f"it says {leak}"), (7, "a clean text under the same id"), (None, " ".join(half[:9])), (None, " ".join(half[5:])), (8, "clean")]
+    rows = [(i, t, f"u{k}", k, k, k, None) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(x["__nth"] for x in kept.collect()) == [1, 3, 4, 5, 6]
+    rows = [(5, "one text that stands here"), (5, "and quite another under its id"), (None, "one text that stands here"), (None, "words of a third text"), (None, "words of a third text")]
+    docs = spark.createDataFrame([(i, t, f"u{k}", k, k, k, None) for k, (i, t) in enumerate(rows)], schema)
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(x["text"] for x in kept.collect()) == sorted({t for _, t in rows})
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
 def test_near_dedup_against_brute_force_jaccard(spark, tmp_path):
     r = random.Random(5)
     rows = []

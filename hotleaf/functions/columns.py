@@ -58,12 +58,16 @@ def _names(fn: Callable) -> tuple[str, ...]:
     return fn.__code__.co_varnames[: fn.__code__.co_argcount]
 
 
+PAIRS = "array<struct<key:string,value:string>>"
+
+
 def _arrow_type(kind: str) -> pa.DataType:
     return {
         "string": pa.string(),
         "boolean": pa.bool_(),
         "binary": pa.binary(),
         "array<string>": pa.list_(pa.string()),
+        PAIRS: pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])),
         SPLIT: pa.struct([("template", pa.string()), ("slots", pa.list_(pa.string())), ("keys", pa.list_(pa.string())), ("error", pa.string())]),
         EDIT: pa.struct([("done", pa.bool_()), ("template", pa.string()), ("slots", pa.list_(pa.string())), ("keys", pa.list_(pa.string())), ("results", pa.list_(pa.string())), ("error", pa.string())]),
     }[kind]
@@ -116,6 +120,16 @@ def object_keys(doc: Column) -> Column:
     return _mapped(lambda text: [k for k, _ in sorted(v.items(), key=K._key_order)] if isinstance(v := K.parse(text), dict) else None, "array<string>")(doc)
 
 
+def elements(doc: Column) -> Column:
+    """The JSON texts of an array's elements; null for other documents."""
+    return _mapped(lambda text: [K.dump(x) for x in v] if isinstance(v := K.parse(text), list) else None, "array<string>")(doc)
+
+
+def each(doc: Column) -> Column:
+    """(key, value) of an object's fields; null for other documents."""
+    return _mapped(lambda text: [{"key": k, "value": K.dump(x)} for k, x in sorted(v.items(), key=K._key_order)] if isinstance(v := K.parse(text), dict) else None, PAIRS)(doc)
+
+
 def edited(doc: Column, ops: Column, paths: tuple) -> Column:
     """EDIT of whole documents: ordered operations (JSON texts), then split again."""
 
@@ -181,3 +195,24 @@ def as_number(value: Column) -> Column:
 
 def as_boolean(value: Column) -> Column:
     return F.when(value == "true", True).when(value == "false", False)
+
+
+def array_length(value: Column) -> Column:
+    """Number of elements; null for what isn't an array."""
+    return F.when(typeof(value) == "array", F.json_array_length(value))
+
+
+def build_array(*values: Column) -> Column:
+    """The JSON text of an array of JSON texts; SQL null becomes JSON null."""
+    return F.concat(F.lit("["), F.concat_ws(", ", *[F.coalesce(v, F.lit("null")) for v in values]), F.lit("]"))
+
+
+def build_object(**values: Column) -> Column:
+    """The JSON text of an object of JSON texts; SQL null becomes JSON null."""
+    fields = [F.concat(F.lit(K.dump(k) + ": "), F.coalesce(v, F.lit("null"))) for k, v in values.items()]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
+
+
+def quoted(value: Column) -> Column:
+    """The JSON text of a string; null stays null."""
+    return F.when(value.isNotNull(), F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1))

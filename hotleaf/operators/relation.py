@@ -212,7 +212,7 @@ class Relation:
 
     def visible(self, command: str = "select", rows: DataFrame | None = None) -> DataFrame:
         rows = self.hot() if rows is None else rows
-        if not self.meta.rls["enabled"] or self.user is None and not self.meta.rls["force"]:
+        if not self._restricted():
             return rows
         return rows.where(policy.condition(self, command, "using"))
 
@@ -351,21 +351,29 @@ class Relation:
         for k, (state, message, _) in enumerate(found):
             if out[k]:
                 raise DocError(state, message)
-        if self.user is not None and self.meta.rls["enabled"]:
+        return out[len(found) :]
+
+    def _restricted(self) -> bool:
+        return self.meta.rls["enabled"] and (self.user is not None or self.meta.rls["force"])
+
+    def _policed(self, rows: DataFrame, command: str) -> None:
+        """Raises if a changed row breaks the policies for what a command may write."""
+        if self._restricted():
             shown = rows.select("*", *[F.get("slots", k).alias(h) for k, h in enumerate(self.hot_names)])
-            if shown.where(~F.coalesce(policy.condition(self, "insert", "check"), F.lit(False))).limit(1).count():
+            if shown.where(~F.coalesce(policy.condition(self, command, "check"), F.lit(False))).limit(1).count():
                 raise DocError("42501", "a row breaks a policy")
-        return out[len(found) :]
 
-    def commit(self, changed: DataFrame, gone: DataFrame | None = None, follower: bool = False, applied: int | None = None, stable: bool = False) -> Relation:
+    def commit(self, changed: DataFrame, gone: DataFrame | None = None, follower: bool = False, applied: int | None = None, stable: bool = False, command: str | None = None) -> Relation:
         """Publishes changed rows (id, template, slots, keys, c_ columns; template null where the cold side stays) and the
         removal of the ids in ``gone``.  Only the buckets that hold them are written.  ``stable``: ``changed`` reads what is
-        settled already and gives the same rows each time."""
+        settled already and gives the same rows each time.  ``command``: whose policies the rows must pass."""
         self.need_writable(follower)
         changed = changed.withColumn("p", self.bucket(F.col("id"))).withColumn("row_revision", F.monotonically_increasing_id() + self.meta.next_revision)
         changed = changed if stable else settled(changed)
         whole = F.col("template").isNotNull()
         top, touched, cold_touched = self._checked(changed, F.max("row_revision"), F.collect_set("p"), F.collect_set(F.when(whole, F.col("p"))))
+        if command:
+            self._policed(changed, command)
         meta = Meta.of(self.meta.text())
         cold_rows = changed.where(whole).select("id", "template", "p")
         removed, cold_removed = changed.select("id"), cold_rows.select("id")
@@ -422,7 +430,7 @@ class Relation:
         packed = self._packed(rows)
         if self.meta.hot and self.hot().select("id").join(packed, "id", "left_semi").limit(1).count():
             raise DocError("23505", "an id exists")
-        return self.commit(packed, follower=follower, stable=True)
+        return self.commit(packed, follower=follower, stable=True, command="insert")
 
     def upsert(self, rows: DataFrame, gone: DataFrame | None = None, follower: bool = False, applied: int | None = None) -> Relation:
         """Inserts or replaces documents; of existing rows only the supplied business columns change."""
@@ -430,7 +438,15 @@ class Relation:
         old = self.hot().select("id", *[F.col(f"`c_{c}`").alias(f"o_{c}") for c in self.meta.columns], F.lit(True).alias("there"))
         joined = packed.join(old, "id", "left")
         kept = [F.when(F.col("there") & F.lit(c not in rows.columns), F.col(f"`o_{c}`")).otherwise(F.col(f"`c_{c}`")).alias(f"c_{c}") for c in self.meta.columns]
-        return self.commit(joined.select("id", "template", "slots", "keys", *kept), gone, follower=follower, applied=applied)
+        new = joined.select("id", "template", "slots", "keys", *kept, F.coalesce("there", F.lit(False)).alias("there"))
+        if self._restricted():
+            new = settled(new)
+            there = new.where("there")
+            if there.join(self.visible("update").select("id"), "id", "left_anti").limit(1).count():
+                raise DocError("42501", "a row exists that the user may not change")
+            self._policed(there, "update")
+            self._policed(new.where("NOT there"), "insert")
+        return self.commit(new.drop("there"), gone, follower=follower, applied=applied)
 
     def update_business(self, rows: DataFrame) -> Relation:
         """Sets the business columns in ``rows`` (id and columns) of existing rows; the cold side stays."""
@@ -440,7 +456,7 @@ class Relation:
         new = rows.select("id", *[F.col(f"`{c}`").cast(self.meta.columns[c]).alias(f"n_{c}") for c in given])
         joined = self.visible("update").join(new, "id")
         values = [F.col(f"`{'n' if c in given else 'c'}_{c}`").alias(f"c_{c}") for c in self.meta.columns]
-        return self.commit(joined.select("id", F.lit(None).cast("string").alias("template"), *self._slots(), *values))
+        return self.commit(joined.select("id", F.lit(None).cast("string").alias("template"), *self._slots(), *values), command="update")
 
     def delete(self, ids: DataFrame) -> Relation:
         seen = self.visible("delete").select("id").join(ids.select("id").distinct(), "id", "left_semi")
@@ -467,7 +483,7 @@ class Relation:
         self.need_writable()
         done = settled(self.applied_ops(ops))
         raised(done.agg(F.max("error")).first()[0])
-        out = self.commit(done.drop("results", "error"), stable=True)
+        out = self.commit(done.drop("results", "error"), stable=True, command="update")
         return out, done.select("id", "results")
 
     def _row(self, id_: int, ops: list[dict]) -> tuple[Relation, list | None]:
@@ -637,12 +653,26 @@ class Relation:
         return f"INDEX {name} ON {self.meta.name} ({column}{' COLLATE ' + i['collation'] if i['collation'] else ''})"
 
     def check(self, data: bool = False) -> dict:
-        """Compares the layout with the files; with ``data`` restores every document."""
+        """Compares the layout with the files; with ``data`` restores every document and splits it again: slots, keys and
+        typed columns must be what is stored."""
         bad = sum(not 0 <= i["slot"] < len(self.paths) for i in self.meta.indexes.values())
         if self.meta.hot.keys() != self.meta.cold.keys():
             raise DocError("55000", "hot and cold buckets differ")
-        rows = self.catalog.relation(self.meta.name).df().agg(F.count("doc")).first()[0] if data else None
-        return {"view": self.meta.name, "storage": f"{self.store.files.root}/{self.meta.name}", "layout_ok": True, "rows_checked": rows, "invalid_indexes": bad}
+        rows, sound = None, True
+        if data:
+            whole = self.hot().join(self.cold().withColumn("there", F.lit(True)), ["id", "p"], "full")
+            whole = whole.withColumn("doc", C.restore(F.col("template"), F.array(*self.hot_names), self.paths))
+            again = C.pack(F.col("doc"), self.paths)
+            stored = F.struct(F.col("template").alias("template"), F.array(*self.hot_names).alias("slots"), F.array(*[f"{h}_key" for h in self.hot_names]).alias("keys"))
+            typed = [F.col(n).eqNullSafe((C.as_number if kind == "numeric" else C.as_boolean)(F.col(f"h{slot}"))) for n, (slot, kind) in self._typed().items()]
+            same = whole.select("doc", again.alias("a"), stored.alias("s"), *[t.alias(f"t{k}") for k, t in enumerate(typed)])
+            fits = F.col("a.error").isNull() & F.col("doc").isNotNull()
+            for part in ("template", "slots", "keys"):
+                fits &= F.col(f"a.{part}").eqNullSafe(F.col(f"s.{part}"))
+            for k in range(len(typed)):
+                fits &= F.col(f"t{k}")
+            rows, sound = same.agg(F.count("doc"), F.coalesce(F.min(F.coalesce(fits, F.lit(False))), F.lit(True))).first()
+        return {"view": self.meta.name, "storage": f"{self.store.files.root}/{self.meta.name}", "layout_ok": sound, "rows_checked": rows, "invalid_indexes": bad}
 
     def storage(self) -> str:
         self.need_owner()

@@ -9,6 +9,7 @@ leaves every cold file as it is.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import asdict, dataclass, field
 from typing import Any
@@ -135,6 +136,6 @@ class Store:
     def read(self, side: str, buckets: dict[str, int], schema: str) -> DataFrame:
         base = f"{self.files.root}/{self.name}/{side}"
         if not buckets:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], re.sub(r"\bvar?char\(\d+\)", "string", schema))
         folders = [f"{base}/p={p}/v={v}" for p, v in sorted(buckets.items())]
         return self.spark.read.schema(f"{schema}, v long").option("basePath", base).parquet(*folders).drop("v")

@@ -1,6 +1,7 @@
 """Relations: reads, edits, constraints, commits, partitions, policies, copies and replay."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from hotleaf.errors import DocError
 from hotleaf.functions import kernel as K
@@ -222,6 +223,30 @@ def test_row_policies(docs):
     assert docs.catalog.relation("public.docs").fields().count() == 4
 
 
+def test_policies_on_writes(docs, spark):
+    r = docs.grant("t1", "write").enable_rls()
+    mine = lambda: r.catalog.as_user("t1").relation("public.docs")
+    r = r.set_policy("see", "select", ["public"], using="true").set_policy("change", "update", ["public"], using="tenant = current_user", check="tenant <> 'gone'")
+    assert mine().set_field(1, ["count"], 5)[1]  # no insert policy is needed for an update
+    assert state(mine().update_business, spark.createDataFrame([(1, "gone")], "id long, tenant string")) == "42501"
+    assert state(mine().upsert_document, 2, {}, {"tenant": "t1"}) == "42501"  # another user's row
+    assert docs.catalog.relation("public.docs").df().where("id = 2").first()["tenant"] != "t1"
+    assert state(mine().upsert_document, 50, {}, {"tenant": "t1"}) == "42501"  # nothing lets t1 add rows
+    r.catalog.relation("public.docs").set_policy("add", "insert", ["t1"], check="tenant = current_user")
+    assert state(mine().upsert_document, 50, {}, {"tenant": "t2"}) == "42501"
+    assert mine().upsert_document(50, {}, {"tenant": "t1"})[0].hot().where("id = 50").count() == 1
+
+
+def test_check_finds_damage(docs, spark):
+    assert docs.check(True)["layout_ok"]
+    rows = docs.hot().where("id = 1").select("id", F.lit(None).cast("string").alias("template"), F.array(*map(F.lit, ('"other"', "1", '"a"'))).alias("slots"), F.array(*map(F.lit, ("wrong", "wrong", "wrong"))).alias("keys"), "c_tenant")
+    assert not docs.commit(rows).check(True)["layout_ok"]
+
+
+def test_empty_relation_with_a_bounded_text_column(catalog):
+    assert catalog.create("public.short", [["a"]], {"label": "varchar(4)"}).df().count() == 0
+
+
 def test_files_and_layouts(docs, catalog, tmp_path):
     file = str(tmp_path / "out.jsonl")
     footer = P.export_file(docs, file)

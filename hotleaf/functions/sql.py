@@ -6,10 +6,11 @@ SQL NULL; an error ends the query.
 
 from __future__ import annotations
 
+import json
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from hotleaf.errors import DocError
@@ -46,6 +47,27 @@ def _checked(path):
     return True
 
 
+def walk(value, steps: list):
+    """Typed steps: a string is a key, a number a place (0 and -1 of a scalar are the scalar), a list a path of either."""
+    for step in steps:
+        if value is K.MISSING:
+            return value
+        if isinstance(step, list):
+            value = K.extract(value, step)
+        elif isinstance(step, str):
+            value = value.get(step, K.MISSING) if isinstance(value, dict) else K.MISSING
+        elif isinstance(value, list):
+            value = value[step] if -len(value) <= step < len(value) else K.MISSING
+        elif isinstance(value, dict) or step not in (0, -1):
+            value = K.MISSING
+    return value
+
+
+@cache
+def _steps(text: str) -> list:
+    return json.loads(text)
+
+
 SPLIT = pa.struct([("cold", pa.string()), ("slots", pa.list_(pa.string()))])
 #: name -> (function of Python values, SQL type, Arrow type)
 FUNCTIONS = {
@@ -54,6 +76,7 @@ FUNCTIONS = {
     "doc_typeof": (lambda doc: K.typeof(K.parse(doc)), "string", pa.string()),
     "doc_text": (lambda doc: K.text_of(K.parse(doc)), "string", pa.string()),
     "doc_field": (lambda doc, path: _text(K.extract(K.parse(doc), path)), "string", pa.string()),
+    "doc_steps": (lambda doc, steps: _text(walk(K.parse(doc), _steps(steps))), "string", pa.string()),
     "doc_object_field": (lambda doc, path: _text(K.object_field(K.parse(doc), path)), "string", pa.string()),
     "doc_set": (lambda doc, path, value, create: K.dump(K.set_value(K.parse(doc), K.check_path(path), K.parse(value), create)), "string", pa.string()),
     "doc_delete": (lambda doc, path: K.dump(K.delete_value(K.parse(doc), K.check_path(path))), "string", pa.string()),
@@ -81,6 +104,12 @@ def _arrow(fn, arrow):
     return {1: lambda a: rows(a), 2: lambda a, b: rows(a, b), 3: lambda a, b, c: rows(a, b, c), 4: lambda a, b, c, d: rows(a, b, c, d)}[arity]
 
 
+def steps(doc: Column, text: str) -> Column:
+    """JSON text at typed steps, which are JSON text themselves."""
+    fn, kind, arrow = FUNCTIONS["doc_steps"]
+    return F.arrow_udf(_arrow(fn, arrow), returnType=kind)(doc, F.lit(text))
+
+
 def register(spark: SparkSession) -> None:
     for name, (fn, kind, arrow) in FUNCTIONS.items():
         spark.udf.register(name, F.arrow_udf(_arrow(fn, arrow), returnType=kind))

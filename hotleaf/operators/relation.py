@@ -16,7 +16,7 @@ from hotleaf.errors import DocError
 from hotleaf.functions import columns as C
 from hotleaf.functions import kernel as K
 from hotleaf.operators import policy
-from hotleaf.plans import resolver
+from hotleaf.plans import resolver, rewrite
 from hotleaf.sources.checkpoints import settled
 from hotleaf.sources.store import Files, Meta, Store
 
@@ -84,6 +84,10 @@ class Catalog:
             self.files.delete(name)
             raise
 
+    def sql(self, text: str, args: dict[str, Any] | None = None, **relations: Relation) -> DataFrame:
+        """A query over relations, with ``->``, ``->>``, ``#>`` and ``#>>`` on their documents answered from hot columns."""
+        return rewrite.run(self, text, relations, args)
+
     def drop(self, name: str) -> None:
         relation = self.relation(name)
         relation.need_owner()

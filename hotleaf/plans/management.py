@@ -353,3 +353,38 @@ def q74_snapshot_copy(spark, sf_dir):
     source = _catalog(spark).import_table("public.items", _item_docs(spark, sf_dir), [["n"]])
     copy = P.import_manifest(source.catalog, P.export_manifest(source), "public.snapshot").insert(source.df())
     return copy.fields(n=["n"]).select("id", F.col("n").cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------- SQL over relations
+@_query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'O'")
+def q75_sql_text_predicate(spark, sf_dir):
+    r = kept(spark, sf_dir, "orders")
+    return r.catalog.sql("SELECT id, doc->>'status' AS status FROM o WHERE doc->>'status' = 'O'", o=r)
+
+
+@_query("SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders WHERE CAST(o_totalprice AS DECIMAL(18,2)) >= 200000 AND o_orderstatus = 'F'")
+def q76_sql_typed_predicate(spark, sf_dir):
+    r = fresh(spark, sf_dir, "orders", types=[(["stats", "price"], "numeric")])
+    text = """SELECT id, CAST((doc->'stats'->>'price')::numeric AS DECIMAL(18,2)) AS price FROM public.orders
+              WHERE (doc->'stats'->>'price')::numeric >= 200000 AND doc->'status' = '"F"'"""
+    return r.catalog.sql(text)
+
+
+@_query("SELECT o_orderstatus AS status, o_orderpriority AS prio, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' GROUP BY ALL")
+def q77_sql_conjuncts(spark, sf_dir):
+    r = kept(spark, sf_dir, "orders")
+    text = """SELECT o.doc->>'status' AS status, o.doc #>> '{stats,prio}' AS prio, count(*) AS n FROM o
+              WHERE o.doc->'stats'->>'prio' = :prio AND o.doc->>'status' = 'O' GROUP BY ALL"""
+    return r.catalog.sql(text, {"prio": "1-URGENT"}, o=r)
+
+
+_FIRST_ITEMS = """SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS qty FROM lineitem
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT), l_extendedprice) = 1"""
+
+
+@_query(f"SELECT o_orderkey AS id, o_orderstatus AS status, qty FROM orders JOIN ({_FIRST_ITEMS}) l ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'")
+def q78_sql_join_of_relations(spark, sf_dir):
+    o, i = kept(spark, sf_dir, "orders"), kept(spark, sf_dir, "items")
+    text = """SELECT o.id, o.doc->>'status' AS status, CAST(i.doc->'items'->0->>'qty' AS BIGINT) AS qty
+              FROM o JOIN i ON o.id = i.id WHERE o.doc->>'status' <> 'P'"""
+    return o.catalog.sql(text, o=o, i=i)

@@ -1,11 +1,13 @@
 """Toxicity by compression distance (operator 9).
 
-Two zstandard dictionaries: one is trained on ordinary text; one comes from toxic text, made of the beginnings of words
-which many toxic rows and hardly any ordinary ones have (a dictionary that zstandard itself trains on toxic windows finds
-fewer toxic rows and flags more others; the README has the figures).  A text is cut into windows of eight words.  Each window is compressed
+Two zstandard dictionaries: one is trained on windows of ordinary text; one on the stretches of toxic text that tell it from
+ordinary text, row by row (beginnings of words which many toxic rows and hardly any ordinary ones have; whole windows of toxic
+text are mostly prose, and a dictionary of them finds fewer toxic rows; the README has the figures).  A text is cut into
+windows of eight words.  Each window is compressed
 twice: with the ordinary dictionary, and with the same preceded by the toxic one, so that the number of bytes saved is what
 toxic text explains and ordinary text doesn't.  A stretch that both dictionaries know goes before each
-window, as a text that hardly shrinks would be stored as it is. Windows that save anything are looked at again word
+window, as a text that hardly shrinks would be stored as it is, and one after it, long enough to be a match in any case, so that
+literals and offsets around the window cost the same both times.  Windows that save anything are looked at again word
 by word.  How often savings reach one, two and three bytes, and how many words
 confirm them, are turned into a probability by logistic regression.
 
@@ -34,7 +36,9 @@ SAMPLE_TOXIC, SAMPLE_ORDINARY = 2_500, 5_000
 #: The ordinary dictionary is trained on every k-th window of the sampled ordinary rows, so that about so many are read.
 DICTIONARY_WINDOWS = 60_000
 WORDS = 8
-ORDINARY_BYTES = 8 << 10
+ORDINARY_BYTES, TOXIC_BYTES = 8 << 10, 4 << 10
+#: Bytes known to both dictionaries before and after what is compressed.
+BEFORE, AFTER = 48, 20
 STEM = 4
 #: A stem is in this share of toxic rows at least, in this many rows, and so many times likelier there than elsewhere.
 SHARE, ROWS, LIKELIER = 0.03, 8, 20
@@ -48,9 +52,9 @@ def windows(raw: bytes, n: int = WORDS) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + n]) + b" " for i in range(0, len(words), n)]
 
 
-def _compressor(content: bytes, strategy: int) -> zstandard.ZstdCompressor:
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     parameters = zstandard.ZstdCompressionParameters(
-        window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=5, strategy=strategy, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+        window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=5, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
     )
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=parameters)
@@ -68,26 +72,26 @@ class Model:
         """features(raw): savings of a text's windows and words."""
         if not self.toxic:
             return lambda raw: np.zeros(FEATURES)
-        with_, without = (_compressor(x, zstandard.STRATEGY_LAZY2).compress for x in (self.toxic + self.ordinary, self.ordinary))
-        with_word, without_word = (_compressor(x, zstandard.STRATEGY_BTOPT).compress for x in (self.toxic + self.ordinary, self.ordinary))
-        known = self.ordinary[-48:]
-        end = known[:8]
+        with_, without = (_compressor(x).compress for x in (self.toxic + self.ordinary, self.ordinary))
+        before, after = self.ordinary[-BEFORE:], self.ordinary[-AFTER:]
         cache: dict[bytes, int] = {}
 
+        def saving(part: bytes) -> int:
+            text = before + part + after
+            return len(without(text)) - len(with_(text))
+
         def word_saving(word: bytes) -> int:
             if word not in cache:
                 if len(cache) > 100_000:
                     cache.clear()
-                text = known + b" " + word + b" " + end
-                cache[word] = len(without_word(text)) - len(with_word(text))
+                cache[word] = saving(b" " + word + b" ")
             return cache[word]
 
         def features(raw: bytes) -> np.ndarray:
             n = np.zeros(6)
             parts = windows(raw)
             for w in parts:
-                text = known + w
-                saved = len(without(text)) - len(with_(text))
+                saved = saving(w)
                 if saved >= 1:
                     n[:3] += saved >= _STEPS
                     for word in w.split():
@@ -142,6 +146,14 @@ def toxic_stems(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return sorted(set(stems), key=lambda s: (counts[s], s))
 
 
+def toxic_stretches(raw: bytes, stems: list[bytes]) -> bytes:
+    """The beginnings of a text's words that are stems, in order."""
+    either = tuple(stems)
+    words = [w.lstrip(_PUNCTUATION) for w in raw.lower().split()]
+    found = [max((s for s in stems if w.startswith(s)), key=len) for w in words if w.startswith(either)]
+    return b" " + b" ".join(found) + b" " if found else b""
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
@@ -175,7 +187,8 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     step = max(1, len(samples) // DICTIONARY_WINDOWS)
     model.ordinary = _dictionary(samples[::step], ORDINARY_BYTES)
     stems = toxic_stems(toxic, ordinary)
-    model.toxic = b"".join(b" " + s for s in stems) + b" " if stems else b""
+    stretches = [s for s in (toxic_stretches(raw, stems) for raw in toxic) if s]
+    model.toxic = _dictionary(stretches, TOXIC_BYTES) if stretches else b""
     if model.toxic and rest:
         features = model.scorer()
         model.weights, model.bias = _logistic(np.array([features(raw) for raw, _ in rest]), np.array([y for _, y in rest], float))

@@ -444,3 +444,22 @@ def test_sql_on_awkward_rows(spark, tmp_path, rows, name, sql):
     got = QUERIES[name](spark, str(tmp_path))
     assert sorted(want.columns) == sorted(got.columns)
     same(got.select(*want.columns).collect(), want.fetchall())
+
+
+def test_toxic_dictionary_of_stretches():
+    """The toxic dictionary is trained on telling stretches, and two words of it are evidence whichever they are."""
+    r, insults, rows = random.Random(5), ["stupid", "moron", "pathetic", "clown", "worthless"], []
+    for _ in range(600):
+        words = [r.choice(["ar", "bel", "cor", "dun", "el", "for"]) + r.choice(["ia", "on", "um", "as"]) + str(r.randrange(900)) for _ in range(30)]
+        bad = r.random() < 0.3
+        for _ in range(3 * bad):
+            words[r.randrange(30)] = r.choice(insults)
+        rows.append((" ".join(words).encode(), int(bad)))
+    assert toxicity.toxic_stretches(b"You 'Stupid! fool, moronic", [b"stupid", b"moron"]) == b" stupid moron "
+    assert toxicity.toxic_stretches(b"", [b"a"]) == toxicity.toxic_stretches(b"plain words", [b"stupid"]) == b""
+    model = toxicity.fit(rows)
+    assert all(w.encode() in model.toxic for w in insults)
+    features = model.scorer()
+    score = lambda t: float(model.probability(features(t.encode())))
+    assert min(score(f"aria1 belon2 corum3 {a} dunas4 {b} elia5") for a in insults for b in insults if a != b) > 0.5
+    assert max(score(t) for t in ("", "aria1 belon2 corum3", "word " * 3000)) < 0.5

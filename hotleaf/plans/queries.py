@@ -233,8 +233,11 @@ def q19_last_write_wins(spark, sf_dir):
 @_query("SELECT o_orderkey AS id, 'P2' AS status, CAST(o_totalprice AS DECIMAL(18,2)) AS price, 5 AS added FROM orders")
 def q20_json_patch(spark, sf_dir):
     r = fresh(spark, sf_dir, "orders")
-    patch = [{"op": "test", "path": "/cust", "value": None}, {"op": "add", "path": "/new", "value": {"a": [1, 5]}}, {"op": "replace", "path": "/status", "value": "P2"}, {"op": "remove", "path": "/new/a/0"}]
-    f = r.apply_ops(_ops(r.hot(), {"op": "patch", "patch": patch[1:]}))[0].fields(s=["status"], p=["stats", "price"], a=["new", "a", "0"])
+    patch = [
+        {"op": "add", "path": "/new", "value": {"a": [1, 5]}}, {"op": "test", "path": "/new", "value": K.parse('{"a": [1.0, 5]}')},
+        {"op": "replace", "path": "/status", "value": "P2"}, {"op": "test", "path": "/status", "value": "P2"}, {"op": "remove", "path": "/new/a/0"},
+    ]
+    f = r.apply_ops(_ops(r.hot(), {"op": "patch", "patch": patch}))[0].fields(s=["status"], p=["stats", "price"], a=["new", "a", "0"])
     return f.select("id", C.as_text(F.col("s")).alias("status"), F.col("p").cast(MONEY).alias("price"), F.col("a").cast("int").alias("added"))
 
 

@@ -4,25 +4,28 @@ A text is the sequence of its words (A-Z lower-cased) and one end mark.  Every t
 predicted by several hashed contexts whose predictions are mixed in the logistic domain by gated weights:
 
 * A word that training texts have is coded by the bits of its 64-bit hash, from the first on, as far as other known words
-  share them.  The contexts of a bit are the hash's beginning, and the beginning within a kind of text; each has exact
-  counts of zeros and ones over all training tokens.  The gate is how often the kind has seen the context.
+  share them.  The first LEAF bits are predicted in the running text: their contexts are the hash's
+  beginning within the kind of text, after the word before, after the one before that, and after both, with counts
+  of every occurrence in training texts.  A text starts from the same weights and corrects them block of words after
+  block of words; the gate is the bit's depth and how often it was seen after the word before.  The other bits are
+  predicted from the beginning, overall and within a kind of text, by exact counts; the gate is how often the kind has seen it.
 * A new word is spelled: a word is its bytes and a space, the end mark one byte.  The contexts of a bit are the last one to four
   bytes of the word and its whole beginning, with counts over all distinct training words.  The gate is which bit of the byte
   it is and how often the longest context was seen.
 
-Weights are refined online: a bucket of the vocabulary starts from equal weights and corrects them step by step, with
+Weights outside the running text are refined online too: a bucket of the vocabulary starts from equal weights and corrects them step by step, with
 the count of the token at hand left out; the buckets' weights are averaged by the tokens behind them, as integers, so that
 neither partitions nor their order change a score.  A known and a new word have the shares that Good and Turing
 give them.
 
-Across words the kind of text is the context: kinds are the signs of the main axes of byte frequencies over all
+The kind of text is a context of all words: kinds are the signs of the main axes of byte frequencies over all
 training texts, a text is scored under each of them, and they are weighted by their share of the training tokens and,
 word after word, by how well they predicted the words before.  Costs are rounded up to 1 / UNIT, so the probabilities of all
 token sequences sum to at most one.
 
 Words are counted over all training documents: stretches of documents send their distinct words once, buckets of the
 vocabulary add up, and answer each chunk of documents with its words' counts and costs.  The counts of known words grow
-with the corpus and stay in their buckets; per bucket only its totals come to the driver.  The tables for spelling have a fixed size.
+with the corpus and stay in their buckets; per bucket only its totals come to the driver.  The tables for spelling and for the running text have a fixed size.
 
 Null and empty texts are the end mark alone.  With no training documents all counts are zero and the bit predictor is
 uniform.
@@ -61,6 +64,15 @@ UNIT = 512
 #: Gates of the known words' bits: how often the kind has seen the context, as a power of two.
 LEVELS = 12
 _START = np.tile(np.array([0.7, 0.3]), (LEVELS, 1))
+#: Bits of a word's hash that are mixed in the running text.
+LEAF = 12
+#: Contexts there, as bits of the context's hash and of the word's: kind of text, word before, the one before that, both.
+AROUND = ((AXES, LEAF), (10, 11), (10, 11), (12, 9))
+_GRAIN = 16
+_AROUND_START = (0.4, 0.35, 0.15, 0.25)
+_AROUND_RATE = 0.003
+#: Texts whose weights are held at once.
+_TEXTS = 512
 
 
 def held_out_fold(doc_id) -> int:
@@ -218,6 +230,150 @@ def known_costs(keys: np.ndarray, counts: np.ndarray, depths: range, weights: np
     return out
 
 
+# ---------------------------------------------------------------- bits of words in the running text
+def _in_order(d: Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Id and document of every token in the order of the texts; ids of the two words before (0: none)."""
+    _, ids, _, _, doc = _tokens(d)
+    order = np.argsort(doc, kind="stable")
+    ids, doc = ids[order], doc[order]
+    before = np.zeros((2, len(ids)), np.uint64)
+    for k in (1, 2):
+        before[k - 1, k:] = np.where(doc[k:] == doc[:-k], ids[:-k], _U(0))
+    return ids, doc, before[0], before[1]
+
+
+def _around(kind: np.ndarray, last: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
+    """The context of each token in each model."""
+    hashes = mix(last), mix(second + _U(0x32)), mix(mix(last) + second)
+    return [kind, *((h >> _U(64 - wide)).astype(np.int64) for h, (wide, _) in zip(hashes, AROUND[1:], strict=True))]
+
+
+def _count_around(axes: np.ndarray):
+    """Counts of words, by the beginning of their hash, in every context of the running training texts."""
+
+    def run(batches):
+        totals = [np.zeros(1 << wide + deep, np.int64) for wide, deep in AROUND]
+        for d in _stretches(batches):
+            ids, doc, last, second = _in_order(d)
+            learn = np.array([held_out_fold(x) != 2 for x in d.table.column("doc_id").to_pylist()], bool)
+            kind = np.array([kind_of(d.buf[d.edges[k] : d.edges[k + 1]], axes) for k in range(d.n)], np.int64)
+            some = learn[doc]
+            for total, context, (_, deep) in zip(totals, _around(kind[doc], last, second), AROUND, strict=True):
+                at = context[some] << deep | (ids[some] >> _U(64 - deep)).astype(np.int64)
+                total += np.bincount(at, minlength=len(total))
+        found = [np.flatnonzero(x) for x in totals]
+        yield pa.RecordBatch.from_pydict({"model": pa.array(range(len(AROUND)), pa.int32()), "body": [pack(at.astype(np.uint32), x[at]) for at, x in zip(found, totals, strict=True)]})
+
+    return run
+
+
+def _add_around(key, table):
+    wide, deep = AROUND[key[0].as_py()]
+    total = np.zeros(1 << wide + deep, np.int64)
+    for blob in table.column("body").to_pylist():
+        at, counts = unpack(blob)
+        total[at] += counts
+    at = np.flatnonzero(total)
+    return pa.table({"model": pa.array([key[0].as_py()], pa.int32()), "body": [pack(at.astype(np.uint32), total[at])]})
+
+
+def _tree(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each context and node (1: the whole hash, 2n and 2n + 1: beginnings one bit longer) counts of zeros and ones."""
+    zeros, ones = np.zeros(leaves.shape, np.int64), np.zeros(leaves.shape, np.int64)
+    while leaves.shape[1] > 1:
+        half = leaves.shape[1] // 2
+        zeros[:, half : 2 * half], ones[:, half : 2 * half] = leaves[:, 0::2], leaves[:, 1::2]
+        leaves = leaves[:, 0::2] + leaves[:, 1::2]
+    return zeros, ones
+
+
+def _blocks(place: np.ndarray) -> np.ndarray:
+    """Number of the block that a place in a text is in: of 16 words, later of an eighth of the words before."""
+    edges = [0]
+    while len(place) and edges[-1] <= place.max():
+        edges.append(edges[-1] + max(16, edges[-1] // 8))
+    return np.searchsorted(edges, place, "right") - 1
+
+
+@dataclass
+class Around:
+    """Predictors of the running text, as multiples of 1 / _GRAIN by context and node, and what words cost without them."""
+
+    stretch: list[np.ndarray]
+    level: np.ndarray
+    parted: np.ndarray
+    #: For each kind and beginning the probability of a known word that has it.
+    share: np.ndarray
+    prior: np.ndarray
+    known: np.ndarray
+
+    @classmethod
+    def of(cls, counts: list[np.ndarray], weights: np.ndarray, unseen: np.ndarray, tokens: np.ndarray) -> Around:
+        trees = [_tree(x.reshape(1 << wide, 1 << deep)) for x, (wide, deep) in zip(counts, AROUND, strict=True)]
+        stretch = [np.rint(np.clip(_GRAIN * np.log((ones + 0.4) / (zeros + 0.4)), -127, 127)).astype(np.int8).ravel() for zeros, ones in trees]
+        by_kind = counts[0].reshape(KINDS, -1).T
+        some = np.flatnonzero(by_kind.sum(1))
+        share = np.zeros((KINDS, 1 << LEAF))
+        share[:, some] = (np.exp(known_costs(some.astype(np.uint64) << _U(64 - LEAF), by_kind[some], range(0, LEAF), weights)) * (1 - unseen)).T
+        prior = np.maximum(tokens, 1) / np.maximum(tokens, 1).sum()
+        return cls(stretch, _level(trees[1][0] + trees[1][1]).ravel(), (trees[0][0].sum(0) > 0) & (trees[0][1].sum(0) > 0), share, prior, 1 - unseen)
+
+    def gains(self, ids: np.ndarray, doc: np.ndarray, last: np.ndarray, second: np.ndarray, costs: np.ndarray, known: np.ndarray, n: int) -> np.ndarray:
+        """For each text the natural log of what its known words gain over the kinds' own predictions.
+
+        ``costs`` (kind x token) are multiples of 1 / UNIT, of which the texts' beginnings give the kinds' weights.
+        """
+        if n > _TEXTS:
+            cuts = np.searchsorted(doc, np.arange(0, n + _TEXTS, _TEXTS))
+            parts = [self.gains(ids[a:b], doc[a:b] - k * _TEXTS, last[a:b], second[a:b], costs[:, a:b], known[a:b], min(_TEXTS, n - k * _TEXTS)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if k * _TEXTS < n]
+            return np.concatenate(parts)
+        out, spent = np.zeros(n), np.zeros((KINDS, n), np.int64)
+        weights = np.empty((LEAF, len(AROUND), 4 * n), np.float32)
+        weights[:] = np.array(_AROUND_START)[:, None] / _GRAIN
+        block = _blocks(np.arange(len(doc)) - np.searchsorted(doc, doc))
+        order = np.argsort(block, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) > 0, [True]])) if len(order) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            at = order[a:b]
+            own, cost = doc[at], costs[:, at]
+            after = np.cumsum(cost, 1, np.int64)
+            after += (spent - np.take(after - cost, np.searchsorted(own, np.arange(n)), 1, mode="clip"))[:, own]
+            ends = np.flatnonzero(np.concatenate([own[1:] != own[:-1], [True]]))
+            spent[:, own[ends]] = after[:, ends]
+            some = np.flatnonzero(known[at])
+            so_far = (after - cost)[:, some]
+            at, own = at[some], own[some]
+            odds = np.exp((so_far - so_far.min(0)) / -UNIT) * self.prior[:, None]
+            leaf = (ids[at] >> _U(64 - LEAF)).astype(np.int64)
+            gain = np.log(self.known @ odds) - np.log(sum(share.take(leaf) * x for share, x in zip(self.share, odds, strict=True)))
+            gain += self._mixed(weights, own, leaf, _around(odds.argmax(0), last[at], second[at]))
+            out += np.bincount(own, gain, n)
+        return out
+
+    def _mixed(self, weights: np.ndarray, doc: np.ndarray, leaf: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+        """Natural log of the probability of each word's beginning; ``weights`` of the texts are corrected afterwards."""
+        out, size = np.zeros(len(leaf)), weights.shape[2]
+        contexts = [c << deep for c, (_, deep) in zip(contexts, AROUND, strict=True)]
+        for depth in range(LEAF):
+            node = 1 << depth | leaf >> LEAF - depth
+            sign = ((leaf >> LEAF - 1 - depth & 1) * 2 - 1).astype(np.float32)
+            one_way = not self.parted[1 << depth : 2 << depth].all()
+            if one_way:
+                sign *= self.parted.take(node)
+            slots = [c + node for c, (_, deep) in zip(contexts, AROUND, strict=True) if depth < deep]
+            x = [table.take(at).astype(np.float32) for table, at in zip([t for t, (_, deep) in zip(self.stretch, AROUND, strict=True) if depth < deep], slots, strict=True)]
+            used = [k for k, (_, deep) in enumerate(AROUND) if depth < deep]
+            which = doc * 4 + self.level.take(slots[used.index(1)]) if 1 in used else doc * 4
+            odds = 1 + np.exp(np.minimum(-sign * sum(weights[depth, k].take(which) * v for k, v in zip(used, x, strict=True)), 60))
+            # a beginning that all known words go on from in one way costs nothing
+            out -= np.where(sign == 0, 0, np.log(odds)) if one_way else np.log(odds)
+            error = sign * (1 - 1 / odds)
+            rate = _AROUND_RATE / _GRAIN**2 / np.maximum(1, np.bincount(which, minlength=size) / 64)
+            for k, v in zip(used, x, strict=True):
+                weights[depth, k] += rate * np.bincount(which, error * v, size)
+        return out
+
+
 # ---------------------------------------------------------------- bit predictors
 @dataclass
 class Vocabulary:
@@ -354,6 +510,7 @@ class Model:
     shares: np.ndarray
     words: int
     first: int
+    around: Around | None = None
 
     def word_bits(self, v: Vocabulary) -> np.ndarray:
         """Natural log of the bit predictor's probability of each word."""
@@ -374,7 +531,7 @@ class Model:
         out = np.log(self.unseen) + self.word_bits(v)[:, None]
         known = np.flatnonzero(v.counts.sum(1) > 0)
         bits = known_costs(v.keys[known], v.counts[known], range(self.first, 64), self.known)
-        out[known] = np.logaddexp(out[known], np.log(1 - self.unseen) + self.shares[bucket] + bits)
+        out[known] = np.log(1 - self.unseen) + self.shares[bucket] + bits
         return out
 
 
@@ -396,8 +553,18 @@ def _summed(rows: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def fit(vocabulary: DataFrame, n_buckets: int) -> Model:
-    """The model of a vocabulary (rows of bucket and blob).  What comes to the driver has a fixed size, but for a row per bucket."""
+def around_counts(rows: DataFrame, axes: np.ndarray) -> list[np.ndarray]:
+    parts = rows.mapInArrow(_count_around(axes), "model int, body binary").withColumn("part", F.spark_partition_id() % 16)
+    once = parts.groupBy("model", "part").applyInArrow(_add_around, "model int, body binary")
+    counts = [np.zeros(1 << wide + deep, np.int64) for wide, deep in AROUND]
+    for row in once.groupBy("model").applyInArrow(_add_around, "model int, body binary").collect():
+        at, found = unpack(row["body"])
+        counts[row["model"]][at] = found
+    return counts
+
+
+def fit(vocabulary: DataFrame, n_buckets: int, around: list[np.ndarray]) -> Model:
+    """The model of a vocabulary (rows of bucket and blob) and the running text's counts.  What comes to the driver has a fixed size, but for a row per bucket."""
     spark = vocabulary.sparkSession
     first = n_buckets.bit_length() - 1
     totals = np.zeros((n_buckets, 2 * KINDS + 1), np.int64)
@@ -430,7 +597,7 @@ def fit(vocabulary: DataFrame, n_buckets: int) -> Model:
     shares[some] = known_costs(some.astype(np.uint64) << _U(64 - first) if first else np.zeros(len(some), np.uint64), totals[some, :KINDS], range(0, first), known)
     zeros, ones = counts[:, 0::2], counts[:, 1::2]
     stretch = np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
-    return Model(stretch, _level(zeros[MODELS - 2] + ones[MODELS - 2]), averaged(sums[:size], GATES, MODELS, 0.3).astype(np.float32), known, tokens, unseen, shares, int(totals[:, KINDS].sum()), first)
+    return Model(stretch, _level(zeros[MODELS - 2] + ones[MODELS - 2]), averaged(sums[:size], GATES, MODELS, 0.3).astype(np.float32), known, tokens, unseen, shares, int(totals[:, KINDS].sum()), first, Around.of(around, known, unseen, tokens))
 
 
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
@@ -448,7 +615,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     deal = Deal(docs, id_col, text_col, chunk_bytes=chunk_bytes, bucket_bytes=bucket_bytes)
     n_buckets = 1 << (deal.n_buckets - 1).bit_length()
     vocabulary = settled(word_counts(rows, axes, n_buckets))
-    model = fit(vocabulary, n_buckets)
+    model = fit(vocabulary, n_buckets, around_counts(rows, axes))
     shared = spark.sparkContext.broadcast(model)
     n, v = int(model.tokens.sum()), model.words
 
@@ -477,14 +644,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def finish(d: Docs, got) -> pa.Table:
         # buckets are ranges of keys, so their answers in order are those of all keys in order
         counts, *costs = (np.concatenate(x) for x in zip(*[unpack(body) for _, body in sorted(got, key=lambda x: x[0])], strict=True))
-        _, ids, lo, hi, doc = _tokens(d)
+        ids, doc, last, second = _in_order(d)
         _, at = np.unique(ids, return_inverse=True)
         count = counts[at]
         sums = np.stack([np.bincount(doc, x[at] / -UNIT, d.n) for x in costs], 1) + prior
         top = sums.max(1)
-        score = (top + np.log(np.exp(sums - top[:, None]).sum(1))) / np.log(10)
+        gains = shared.value.around.gains(ids, doc, last, second, np.stack(costs)[:, at], count > 0, d.n)
+        score = (top + np.log(np.exp(sums - top[:, None]).sum(1)) + gains) / np.log(10)
         tokens = np.bincount(doc, minlength=d.n)
-        sizes = np.bincount(doc, hi - lo, d.n) + tokens
+        _, _, lo, hi, word = _tokens(d)
+        sizes = np.bincount(word, hi - lo, d.n) + tokens
         return pa.table(
             {
                 "doc_id": d.table.column("doc_id"),

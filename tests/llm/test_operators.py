@@ -377,6 +377,48 @@ def test_lm_spelling_sums_to_one_over_bits():
     assert np.allclose(flat.word_bits(v), -8 * (v.sizes + 1.0) * np.log(2))
 
 
+def test_lm_words_of_the_running_text_sum_to_one(monkeypatch):
+    r = random.Random(8)
+    ids = np.array(sorted(r.getrandbits(64) for _ in range(60)), np.uint64)
+    text = np.array([r.randrange(60) if r.random() < 0.3 else 3 * (k % 20) for k in range(2000)])
+    doc, kind = np.arange(2000) // 50, np.arange(2000) // 50 % lm_score.KINDS
+    last = np.where(np.arange(2000) % 50 > 0, np.roll(ids[text], 1), np.uint64(0))
+    second = np.where(np.arange(2000) % 50 > 1, np.roll(ids[text], 2), np.uint64(0))
+    counts = [np.bincount(c << deep | (ids[text] >> np.uint64(64 - deep)).astype(np.int64), minlength=1 << wide + deep) for c, (wide, deep) in zip(lm_score._around(kind, last, second), lm_score.AROUND, strict=True)]
+    by_kind = np.stack([np.bincount(text[kind == k], minlength=60) for k in range(lm_score.KINDS)], 1).astype(np.int64)
+    tokens, unseen = by_kind.sum(0), np.full(lm_score.KINDS, 0.1)
+    around = lm_score.Around.of(counts, lm_score._START, unseen, tokens)
+    costs = np.ceil((lm_score.known_costs(ids, by_kind, range(0, 64), lm_score._START) + np.log(0.9)) * -lm_score.UNIT).astype(np.int64)
+
+    def logs(texts):
+        """Natural log of the probability of each text, all of the same length."""
+        flat = np.concatenate(texts)
+        n, m = len(texts), len(texts[0])
+        at, words = np.arange(len(flat)) % m, ids[flat]
+        before = [np.where(at >= k, np.roll(words, k), np.uint64(0)) for k in (1, 2)]
+        gains = around.gains(words, np.repeat(np.arange(n), m), *before, costs[flat].T, np.ones(len(flat), bool), n)
+        return gains + np.logaddexp.reduce(np.log(around.prior) - costs[flat].reshape(n, m, -1).sum(1) / lm_score.UNIT, axis=1)
+
+    for past in (text[:2], text[5:45], text[5:205]):
+        total = np.exp(logs([[*past, x] for x in range(60)]) - logs([past])[0]).sum()
+        assert 0.97 * 0.9 < total <= 0.9 + 1e-9
+    texts = [text[k : k + 30] for k in range(7)]
+    whole = logs(texts)
+    monkeypatch.setattr(lm_score, "_TEXTS", 3)
+    assert (logs(texts) == whole).all()
+
+
+def test_lm_score_heeds_the_order_of_words(spark):
+    # one kind of text throughout, so that nothing but the words before tells these two apart
+    r = random.Random(9)
+    cycle = [f"w{k}" for k in range(12)]
+    shuffled = r.sample(cycle * 4, 48)
+    rows = [(k, " ".join(cycle * 5)) for k in range(30)] + [(100, " ".join(cycle * 4)), (101, " ".join(shuffled))]
+    got = {x["doc_id"]: x for x in lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert abs(got[100]["base_score"] - got[101]["base_score"]) < 1e-9
+    assert got[100]["score"] > got[101]["score"] + 5
+
+
 def thue_morse() -> tuple[str, str]:
     """Two words that every polynomial hash modulo 2**64 takes for one."""
     word = "a"

@@ -1,16 +1,14 @@
-"""Operator 4 for a similarity of 0.8, as the pipeline's near_dedup takes it: candidates by MinHash bands, decided by exact sets.
+"""Operator 4 for a similarity of 0.8, as the pipeline's near_dedup takes it: SimHash, positional bytes, count filter, exact sets.
 
-At a Jaccard similarity of 0.8 two SimHash fingerprints differ in 15 % of their bits (about 10 of 64), and a byte is
-the same in 27 % of positions, so there is no number of shared positional bytes that such a pair is sure to have, and few enough
-others.  Minima of hashes agree in 80 % of positions, so here the positions of the inverted index are bands of minima.
+At a Jaccard similarity of 0.8 two SimHash fingerprints differ in 15 % of their bits and a byte is the same in
+27 % of positions, so 64 bits don't tell such a pair from others.  Here a fingerprint has WIDE bytes, and is posted under
+disjoint triples of its positional bytes, in ROUNDS random deals.  Candidates share a list, and at least SHARED positional bytes.
 
-Nodes are distinct texts (by a 64-bit hash); exact copies are one node.  A node is posted under 32 bands of five
-minima each, so a pair with Jaccard 0.8 shares no list with a chance of 3 in a million, and more similar ones with
-less.  No list is cut or sampled.  First each member of a list is compared with the least one; what these links join
-is one component.  Lists whose members are still in several components are then searched whole: every pair of
-members of different components is compared, and one link per joined component leaves the task.  So a list of n near
-copies makes about n rows, and only lists of texts that don't join cost more comparisons.  All links are decided by the
-sets of shingles (64-bit hashes of five words), not by the minima.
+Nodes are distinct texts (by a 64-bit hash); exact copies are one node.  No list is cut or sampled.  First each member of a
+list is compared with the least one; what these links join is one component.  Lists whose members are still in several
+components are then searched whole: members without enough bytes in common with one of another component leave, every pair of
+the others that are in different components is compared, and one link per joined component leaves the task.  All links are
+decided by the sets of shingles (64-bit hashes of five words), not by the fingerprints.
 
 Words are cut and lower-cased as in operator 4.  A text of fewer than five words has one shingle, all its words; null,
 empty and wordless texts are equal.
@@ -18,20 +16,29 @@ empty and wordless texts are equal.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hotleaf.llm.exchange import mix, pack, unpack
 from hotleaf.llm.graph import components
 from hotleaf.llm.shared import settled
 
 SHINGLE = 5
-BANDS, ROWS = 32, 5
+WIDE, ROUNDS, SHARED = 256, 12, 24
 _SEED = 42
-_FACTORS = np.random.default_rng(_SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = 1 << 12
+_RANDOM = np.random.default_rng(_SEED)
+_FACTORS = _RANDOM.integers(1, 1 << 63, WIDE // 8, np.uint64) * np.uint64(2) + np.uint64(1)
+#: The positions of each posting.
+POSITIONS = np.concatenate([_RANDOM.permutation(WIDE)[: WIDE // 3 * 3].reshape(-1, 3) for _ in range(ROUNDS)])
+_STEP = 1 << 9
+#: Postings have 34 bits, and a bucket about so many of them.
+_BITS, _BUCKET = 34, 4 << 20
+_SPREAD = 0x2545F4915
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -41,13 +48,19 @@ def shingles(raw: bytes) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(g, _SEED) for g in grams]), ">u8").astype(np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One signed 64-bit value per band."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE bytes: a bit is 1 if set in over half of the shingles."""
+    count = np.zeros(WIDE * 8, np.int64)
     for at in range(0, len(hashes), _STEP):
-        np.minimum(least, (_FACTORS[:, None] * hashes[None, at : at + _STEP]).min(1), out=least)
-    raw = least.tobytes()
-    return [int.from_bytes(xxhash.xxh64_digest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], k), "big", signed=True) for k in range(BANDS)]
+        count += np.unpackbits(mix(hashes[at : at + _STEP, None] * _FACTORS).view(np.uint8), axis=1).sum(0, dtype=np.uint16)
+    return np.packbits(2 * count > len(hashes))
+
+
+def postings(marks: np.ndarray) -> np.ndarray:
+    """The postings of each fingerprint (row), spread over _BITS bits."""
+    a, b, c = (marks[:, POSITIONS[:, k]].astype(np.uint64) for k in range(3))
+    value = np.arange(len(POSITIONS), dtype=np.uint64) << np.uint64(24) | a << np.uint64(16) | b << np.uint64(8) | c
+    return value * np.uint64(_SPREAD) & np.uint64((1 << _BITS) - 1)
 
 
 def alike(common, n, m):
@@ -62,12 +75,47 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def _signatures(batches):
     for batch in batches:
-        sizes, values = [], []
-        for x in batch.column(1).to_pylist():
-            hashes = shingles((x or "").encode())
-            sizes.append(len(hashes))
-            values.append(bands(hashes))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["key", "n", "bands"])
+        found = [shingles((x or "").encode()) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array([fingerprint(x).tobytes() for x in found], pa.binary())], ["key", "n", "mark"])
+
+
+def _rows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE)
+
+
+def _posted(n_buckets: int):
+    def run(batches):
+        for batch in batches:
+            keys = np.asarray(batch.column(0)).astype(np.int64)
+            values = postings(_rows(batch.column(1))).ravel()
+            order = np.argsort(values)
+            values, member = values[order], (order // len(POSITIONS)).astype(np.uint32)
+            edges = np.searchsorted(values, np.array([-(-(b << _BITS) // n_buckets) for b in range(n_buckets + 1)], np.uint64))
+            made = [(b, pack(values[x:y], member[x:y], keys)) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], ["bucket", "body"])
+
+    return run
+
+
+def _lists(_, table):
+    """The posting lists of a bucket that have several members."""
+    values, keys = [], []
+    for blob in table.column("body").to_pylist():
+        value, member, key = unpack(blob)
+        values.append(value)
+        keys.append(key[member])
+    values, keys = np.concatenate(values), np.concatenate(keys)
+    order = np.argsort(values, kind="stable")
+    values, keys = values[order], keys[order]
+    same = values[1:] == values[:-1]
+    several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    return pa.table({"value": pa.array(values[several].astype(np.int64)), "key": pa.array(keys[several])})
+
+
+def _counted(batches):
+    for batch in batches:
+        keep = (_rows(batch.column(2)) == _rows(batch.column(3))).sum(1) >= SHARED
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
 
 
 def _sets(batches):
@@ -104,40 +152,73 @@ def joined(keys: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tu
     return out
 
 
-def _searched(batches):
-    open_value, held = None, ([], [], [])
+def partnered(roots: list[int], marks: list[bytes]) -> np.ndarray:
+    """Members of a list that share SHARED positional bytes with one of another component."""
+    root, rows = np.array(roots), np.frombuffer(b"".join(marks), np.uint8).reshape(-1, WIDE)
+    keep = np.zeros(len(root), bool)
+    names, which = np.unique(root, return_inverse=True)
+    for i in np.flatnonzero(which != np.bincount(which).argmax()).tolist():
+        found = ((rows == rows[i]).sum(1) >= SHARED) & (root != root[i])
+        keep |= found
+        keep[i] |= found.any()
+    return keep
 
-    def close():
-        found = joined(*held) if len(held[0]) > 1 else []
-        return [pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (max, min)], ["u", "v"])] if found else []
 
+def _by_list(batches, close, width: int):
+    """close(value, columns) of each list; rows come sorted by their first column."""
+    open_value, held = None, tuple([] for _ in range(width))
     for batch in batches:
-        for value, key, root, grams in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for value, *row in zip(*(batch.column(k).to_pylist() for k in range(width + 1)), strict=True):
             if value != open_value:
-                yield from close()
-                open_value, held = value, ([], [], [])
-            for column, x in zip(held, (key, root, np.frombuffer(grams, np.uint64)), strict=True):
+                yield from close(open_value, held)
+                open_value, held = value, tuple([] for _ in range(width))
+            for column, x in zip(held, row, strict=True):
                 column.append(x)
-    yield from close()
+    yield from close(open_value, held)
+
+
+def _narrowed(batches):
+    def close(value, held):
+        keys, roots, marks = held
+        at = np.flatnonzero(partnered(roots, marks)) if len(keys) > 1 else []
+        return [pa.RecordBatch.from_arrays([pa.array([f[k] for k in at], pa.int64()) for f in ([value] * len(keys), keys, roots)], ["value", "key", "root"])] if len(at) else []
+
+    yield from _by_list(batches, close, 3)
+
+
+def _searched(batches):
+    def close(_, held):
+        keys, roots, grams = held
+        found = joined(keys, roots, [np.frombuffer(x, np.uint64) for x in grams]) if len(keys) > 1 else []
+        return [pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (max, min)], ["u", "v"])] if found else []
+
+    yield from _by_list(batches, close, 3)
 
 
 def near_copies(rows: DataFrame) -> DataFrame:
     """(u, v) for each node u of ``keyed`` rows that isn't the least of its component, v being the least."""
     texts = rows.select(F.col("__key").alias("key"), F.col("text").cast("string").alias("text"))
-    marks = texts.mapInArrow(_signatures, "key long, n long, bands array<long>").dropDuplicates(["key"])
-    posts = settled(marks.select("key", "n", F.explode("bands").alias("value")))
-    lists = posts.groupBy("value").agg(F.min(F.struct("key", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").select("value", "head")
-    shared = settled(posts.join(lists, "value"))
-    members = shared.select("key").distinct()
-    sets = settled(texts.join(members, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_sets, "key long, grams binary"))
-    pairs = shared.where("key <> head.key AND 9 * least(n, head.n) >= 4 * (n + head.n)").select(F.col("key").alias("u"), F.col("head.key").alias("v")).distinct()
-    of = lambda name: sets.select(F.col("key").alias(name), F.col("grams").alias(f"{name}_grams"))
-    wide = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_grams", "v_grams")
+    marks = settled(texts.mapInArrow(_signatures, "key long, n long, mark binary").dropDuplicates(["key"]))
+    n_buckets = max(1, math.ceil(marks.count() * len(POSITIONS) / _BUCKET))
+    shared = settled(marks.select("key", "mark").mapInArrow(_posted(n_buckets), "bucket int, body binary").groupBy("bucket").applyInArrow(_lists, "value long, key long"))
+    heads = shared.groupBy("value").agg(F.min("key").alias("v"))
+    pairs = shared.join(heads, "value").where("key <> v").select(F.col("key").alias("u"), "v").distinct()
+    named = lambda frame, name: frame.select(*[F.col(c).alias(name if c == "key" else f"{name}_{c}") for c in frame.columns])
+    near = pairs.join(named(marks, "u"), "u").join(named(marks, "v"), "v").where("9 * least(u_n, v_n) >= 4 * (u_n + v_n)")
+    near = settled(near.select("u", "v", "u_mark", "v_mark").mapInArrow(_counted, "u long, v long"))
+
+    def sets(members: DataFrame) -> DataFrame:
+        return texts.join(members.distinct(), "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_sets, "key long, grams binary")
+
+    grams = settled(sets(near.select(F.col("u").alias("key")).union(near.select("v"))))
+    wide = near.join(named(grams, "u"), "u").join(named(grams, "v"), "v").select("u", "v", "u_grams", "v_grams")
     links = settled(wide.mapInArrow(_verified, "u long, v long"))
     roots = components(links)
 
     marked = shared.join(roots.select(F.col("u").alias("key"), "v"), "key", "left").select("value", "key", F.coalesce("v", "key").alias("root"))
     split = marked.groupBy("value").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("value")
-    whole = marked.join(split, "value").join(sets, "key").select("value", "key", "root", "grams")
+    open_ = marked.join(split, "value").join(marks, "key").select("value", "key", "root", "mark")
+    left = settled(open_.repartition("value").sortWithinPartitions("value").mapInArrow(_narrowed, "value long, key long, root long"))
+    whole = left.join(sets(left.select("key")), "key").select("value", "key", "root", "grams")
     more = settled(whole.repartition("value").sortWithinPartitions("value").mapInArrow(_searched, "u long, v long").distinct())
     return components(links.union(more))

@@ -140,3 +140,23 @@ def test_search_of_a_list_joins_all_components():
     sets = [np.unique(np.array(base[k : k + 80], np.uint64)) for k in range(0, 21, 4)] + [np.unique(np.array(base[:5] + [r.randrange(1 << 60) for _ in range(75)], np.uint64)) for _ in range(3)]
     found = joined(list(range(9)), list(range(9)), sets)
     assert len(found) == 5 and {x for pair in found for x in pair} == set(range(6))
+
+
+def test_near_copies_meet_in_lists_of_simhash_bytes():
+    from hotleaf.llm import near_copies
+
+    r = np.random.default_rng(7)
+    hashes = r.integers(0, 1 << 63, 9, np.uint64)
+    mixed = [b"".join(int(near_copies.mix(np.array([h]) * f)[0]).to_bytes(8, "little") for f in near_copies._FACTORS) for h in hashes]
+    bits = [[b >> k & 1 for b in x for k in range(7, -1, -1)] for x in mixed]
+    want = np.packbits([2 * sum(x) > len(hashes) for x in zip(*bits, strict=True)])
+    assert (near_copies.fingerprint(hashes) == want).all()
+    for common, size in ((8, 9), (16, 18), (160, 180)):
+        for _ in range(40):
+            base = r.integers(0, 1 << 63, common, np.uint64)
+            a, b = (near_copies.fingerprint(np.concatenate([base, r.integers(0, 1 << 63, size - common, np.uint64)])) for _ in range(2))
+            lists = near_copies.postings(np.stack([a, b]))
+            assert (lists[0] == lists[1]).any() and len(near_copies.partnered([1, 2], [a.tobytes(), b.tobytes()]).nonzero()[0]) == 2
+    others = [near_copies.fingerprint(r.integers(0, 1 << 63, 50, np.uint64)).tobytes() for _ in range(60)]
+    assert not near_copies.partnered(list(range(60)), others).any()
+    assert len(np.unique(near_copies.postings(np.zeros((1, near_copies.WIDE), np.uint8)))) == len(near_copies.POSITIONS)

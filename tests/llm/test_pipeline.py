@@ -160,3 +160,41 @@ def test_near_copies_meet_in_lists_of_simhash_bytes():
     others = [near_copies.fingerprint(r.integers(0, 1 << 63, 50, np.uint64)).tobytes() for _ in range(60)]
     assert not near_copies.partnered(list(range(60)), others).any()
     assert len(np.unique(near_copies.postings(np.zeros((1, near_copies.WIDE), np.uint8)))) == len(near_copies.POSITIONS)
+
+
+def test_postings_of_a_batch_take_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from hotleaf.llm import near_copies
+
+    marks = np.random.default_rng(8).integers(0, 256, (6000, near_copies.WIDE), np.uint8)
+    marks[5999] = marks[0]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(10, 5010), *range(9000, 10000)], pa.int64()), pa.array([x.tobytes() for x in marks], pa.binary())], ["id", "mark"])
+    tracemalloc.start()
+    sent = pa.Table.from_batches(near_copies._posted(3)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    met = pa.concat_tables([near_copies._lists(None, sent.filter(pc.equal(sent.column("bucket"), k))) for k in range(3)])
+    assert met.column("id").to_pylist().count(10) == met.column("id").to_pylist().count(9999) == len(near_copies.POSITIONS)
+    # by chance every posting meets 6,000 in 16 million others: about 2,200 postings, of which few differ little beside it
+    assert len(met) - 2 * len(near_copies.POSITIONS) < 300
+
+
+def test_members_of_a_list_that_differ_beside_it_leave():
+    from hotleaf.llm import near_copies
+
+    r = np.random.default_rng(9)
+    values = np.sort(np.concatenate([r.integers(0, 900, 2000), np.full(700, 1000), np.full(5000, 1001), np.full(300, 1002)])).astype(np.uint64)
+    others = r.integers(0, 1 << 16, len(values)).astype(np.uint16)
+    others[values == 1000] = r.choice([0, 0xF0F0, 0xFFFF, 0x0F0E], 700)
+    others[values == 1002] = 7
+    others[-1] = 0xFF00
+    want = [bool(((np.bitwise_count(others[values == v] ^ x) <= near_copies.BESIDE).sum() > 1)) for v, x in zip(values, others, strict=True)]
+    assert near_copies.meeting(values, others).tolist() == want and 0 < sum(want) < len(want)
+    assert not near_copies.meeting(values[:0], others[:0]).any()
+    for own, at in zip(near_copies.POSITIONS, near_copies._BESIDE_AT, strict=True):
+        assert not set(own) & set(at)

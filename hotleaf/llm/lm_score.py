@@ -71,8 +71,8 @@ AROUND = ((AXES, LEAF), (10, 11), (10, 11), (12, 9))
 _GRAIN = 16
 _AROUND_START = (0.4, 0.35, 0.15, 0.25)
 _AROUND_RATE = 0.003
-#: Texts whose weights are held at once.
-_TEXTS = 512
+#: Texts whose weights are held at once.  They change a score by rounding only; with few of them late blocks, of few long texts, are many.
+_TEXTS = 2048
 
 
 def held_out_fold(doc_id) -> int:
@@ -231,9 +231,8 @@ def known_costs(keys: np.ndarray, counts: np.ndarray, depths: range, weights: np
 
 
 # ---------------------------------------------------------------- bits of words in the running text
-def _in_order(d: Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _in_order(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Id and document of every token in the order of the texts; ids of the two words before (0: none)."""
-    _, ids, _, _, doc = _tokens(d)
     order = np.argsort(doc, kind="stable")
     ids, doc = ids[order], doc[order]
     before = np.zeros((2, len(ids)), np.uint64)
@@ -254,7 +253,8 @@ def _count_around(axes: np.ndarray):
     def run(batches):
         totals = [np.zeros(1 << wide + deep, np.int64) for wide, deep in AROUND]
         for d in _stretches(batches):
-            ids, doc, last, second = _in_order(d)
+            _, ids, _, _, doc = _tokens(d)
+            ids, doc, last, second = _in_order(ids, doc)
             learn = np.array([held_out_fold(x) != 2 for x in d.table.column("doc_id").to_pylist()], bool)
             kind = np.array([kind_of(d.buf[d.edges[k] : d.edges[k + 1]], axes) for k in range(d.n)], np.int64)
             some = learn[doc]
@@ -644,15 +644,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def finish(d: Docs, got) -> pa.Table:
         # buckets are ranges of keys, so their answers in order are those of all keys in order
         counts, *costs = (np.concatenate(x) for x in zip(*[unpack(body) for _, body in sorted(got, key=lambda x: x[0])], strict=True))
-        ids, doc, last, second = _in_order(d)
+        _, ids, lo, hi, word = _tokens(d)
+        ids, doc, last, second = _in_order(ids, word)
         _, at = np.unique(ids, return_inverse=True)
-        count = counts[at]
-        sums = np.stack([np.bincount(doc, x[at] / -UNIT, d.n) for x in costs], 1) + prior
+        count, costs = counts[at], np.stack([x[at] for x in costs])
+        sums = np.stack([np.bincount(doc, x, d.n) for x in costs], 1) / -UNIT + prior
         top = sums.max(1)
-        gains = shared.value.around.gains(ids, doc, last, second, np.stack(costs)[:, at], count > 0, d.n)
+        gains = shared.value.around.gains(ids, doc, last, second, costs, count > 0, d.n)
         score = (top + np.log(np.exp(sums - top[:, None]).sum(1)) + gains) / np.log(10)
         tokens = np.bincount(doc, minlength=d.n)
-        _, _, lo, hi, word = _tokens(d)
         sizes = np.bincount(word, hi - lo, d.n) + tokens
         return pa.table(
             {

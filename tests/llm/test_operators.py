@@ -347,6 +347,24 @@ def test_lm_score_over_many_chunks_whatever_the_partitions(spark, docs, rows):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_lm_score_cuts_a_chunk_into_words_once_and_mixes_its_texts_together(monkeypatch):
+    import pyarrow as pa
+
+    d = exchange.Docs(pa.table({"doc_id": pa.array(range(1500), pa.int64()), "text": [f"a b{k} a c" for k in range(1500)]}))
+    _, ids, _, _, doc = lm_score._tokens(d)
+    monkeypatch.setattr(lm_score, "_tokens", None)
+    ids, doc, last, second = lm_score._in_order(ids, doc)
+    assert doc.tolist() == sorted(doc) and (last[5:10] == [0, *ids[5:9]]).all() and (second[5:10] == [0, 0, *ids[5:8]]).all()
+    counts = [np.bincount(c << deep | (ids >> np.uint64(64 - deep)).astype(np.int64), minlength=1 << wide + deep) for c, (wide, deep) in zip(lm_score._around(doc % lm_score.KINDS, last, second), lm_score.AROUND, strict=True)]
+    around = lm_score.Around.of(counts, lm_score._START, np.full(lm_score.KINDS, 0.1), np.bincount(doc % lm_score.KINDS))
+    costs, mixed, calls = np.random.default_rng(3).integers(500, 5000, (lm_score.KINDS, len(ids))), lm_score.Around._mixed, []
+    monkeypatch.setattr(lm_score.Around, "_mixed", lambda *a: calls.append(1) or mixed(*a))
+    gains = around.gains(ids, doc, last, second, costs, np.ones(len(ids), bool), d.n)
+    assert len(calls) == 1
+    monkeypatch.setattr(lm_score, "_TEXTS", 7)
+    assert np.allclose(around.gains(ids, doc, last, second, costs, np.ones(len(ids), bool), d.n), gains, 1e-4, 1e-4) and len(calls) > 200
+
+
 def _vocabulary(r: random.Random, n: int) -> lm_score.Vocabulary:
     words = sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(n)})
     body = np.frombuffer("".join(words).encode(), np.uint8)

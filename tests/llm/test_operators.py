@@ -68,6 +68,25 @@ def test_suffix_dedup_with_other_lengths(docs, rows):
         suffix_dedup.dedup_substrings(docs, length=150, gram=50)
 
 
+def test_suffix_dedup_tells_confused_bytes_apart(spark):
+    """Two strings of 50 bytes with one identifier, in the middle of the same bytes; copies beside them still go."""
+    one, other = "rpujecfsxgdqegrhgrbwdullmakrziabtqwhnkkydgugskzqpy", "bqnnayycmufsyzapvwtfjttqlabzlbsdvtxqlqllqdhcmniazn"
+    ids = [exchange.Rolling(exchange.BYTE_VALUES[np.frombuffer(x.encode(), np.uint8)]).grams(50)[0] for x in (one, other)]
+    assert one != other and ids[0] == ids[1]
+    r, rows = random.Random(3), []
+    for k in range(0, 60, 3):
+        before, after = ("".join(r.choice("abcdefgh ") for _ in range(150)) for _ in range(2))
+        rows += [(k, before + one + after), (k + 1, before + other + after)]
+        if k % 4 == 0:
+            rows.append((k + 2, "x" + before + other + after))
+    want = brute.op1(rows)
+    assert {x[2] > 0 for x in want} == {True, False}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for sizes in ({}, {"chunk_bytes": 700, "bucket_bytes": 500}):
+        got = suffix_dedup.dedup_substrings(docs, **sizes)
+        same(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), want)
+
+
 def test_passage_dedup(docs, rows, none):
     out = substring_dedup.dedup_passages(docs)
     same(out.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute.op7(rows))
